@@ -147,7 +147,9 @@ def repeated_lines(rows: DataFrame, least_chars: int = 40, least_docs: int = 5,
         return spark.createDataFrame([], "_id long, _print long, drop array<int>")
     suspects = cut(suspects)
     counted = suspects.where("_id is not null").groupBy("key", "_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("docs"), F.max("_id").alias("keeper"))
-    lost = suspects.join(counted.where(F.col("docs") >= least_docs).select("key", "keeper"), "key").where(~F.col("_id").eqNullSafe(F.col("keeper")))
+    # cut, so that both sides of the join are plain shuffles and a line that is very common can be split over tasks
+    common = cut(counted.where(F.col("docs") >= least_docs).select("key", "keeper"))
+    lost = suspects.join(common, "key").where(~F.col("_id").eqNullSafe(F.col("keeper")))
     return lost.groupBy("_id", "_print").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("drop"))
 
 
