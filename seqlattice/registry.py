@@ -1,11 +1,17 @@
-"""All registered queries: name -> (query, SQL)."""
+"""All registered queries of the engine, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from seqlattice.plans import catalog
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(catalog.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(catalog.SQL)
