@@ -125,8 +125,8 @@ def markdown_cell(cell: Column) -> Column:
 
 
 def signed4(value: Column) -> Column:
-    return F.coalesce(F.format_string("%+.4f", value), F.lit("-"))
+    return F.when(value.isNotNull(), F.format_string("%+.4f", value)).otherwise("-")
 
 
 def fixed4(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", value), F.lit("-"))
+    return F.when(value.isNotNull(), F.format_string("%.4f", value)).otherwise("-")

@@ -348,7 +348,7 @@ def _(spark, d):
     return reports.with_kappa(c, summary=known).select("task", "source", "shuffled", "test_kappa")
 
 
-@query("g10_row_normalised", f"WITH {cte('preds')}, c AS (SELECT DISTINCT t FROM preds), m AS (SELECT a.t AS "true", b.t AS pred, (SELECT count(*) FROM preds x WHERE x.t = a.t AND x.p = b.t) AS n FROM c a, c b) SELECT *, n / greatest(sum(n) OVER (PARTITION BY "true"), 1) AS share FROM m")
+@query("g10_row_normalised", f"WITH {cte('preds')}, c AS (SELECT DISTINCT t FROM preds), m AS (SELECT a.t AS k, b.t AS pred, (SELECT count(*) FROM preds x WHERE x.t = a.t AND x.p = b.t) AS n FROM c a, c b) SELECT k AS true, pred, n, n / greatest(sum(n) OVER (PARTITION BY k), 1) AS share FROM m")
 def _(spark, d):
     return metrics.row_normalised(metrics.confusion(spark_view(spark, d, "preds"), "t", "p"))
 

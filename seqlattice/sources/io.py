@@ -161,7 +161,8 @@ def report(df: DataFrame, path: str, title: str, overwrite: bool = False) -> lis
 
     Refuses to replace what is there unless told to.
     """
-    shown = df.select(*[F.coalesce(F.format_string("%.4f", F.col(f"`{c}`")) if t in ("double", "float") else F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c, t in df.dtypes])
+    text = lambda c, t: F.format_string("%.4f", c) if t in ("double", "float") else c.cast("string")
+    shown = df.select(*[F.when(F.col(f"`{c}`").isNull(), "").otherwise(text(F.col(f"`{c}`"), t)).alias(c) for c, t in df.dtypes])
     mode = "overwrite" if overwrite else "errorifexists"
     shown.coalesce(1).write.mode(mode).csv(f"{path}/csv", header=True)
     rows = [r for r in shown.collect()]  # a report table
