@@ -69,8 +69,10 @@ class Languages:
 
     def classify(self, text: bytes | None, margin: float = MARGIN) -> tuple[str, float, bool]:
         """(language, score, rejected); und for a text that is null or has no letter."""
-        words = letters(text.decode("utf-8", "replace")) if text else b""
-        if not words or not self.dictionaries:
+        plain = text.decode("utf-8", "replace") if text else ""
+        words = letters(plain)
+        # numerals such as fractions count as word characters, but are no letters
+        if not words or not self.dictionaries or not any(map(str.isalpha, plain)):
             return "und", 0.0, True
         names = sorted(self.dictionaries)
         if len(names) == 1:

@@ -80,7 +80,7 @@ def _hashed(least: int):
             h = np.repeat(values, np.minimum(counts, 2))  # twice says as much as often: a very common line stays small
             segment = (h >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
             own, at = np.unique(segment, return_index=True)
-            ends = np.append(at[1:], len(h))
+            ends = np.append(at[1:], len(h)) if len(h) else at
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own.astype(np.int32)), pa.array([h[s:e].tobytes() for s, e in zip(at, ends, strict=True)], pa.binary())], names=["segment", "hashes"]
             )
@@ -162,7 +162,7 @@ def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = set(drop or ())
             n_lines.append(len(lines))
             n_dropped.append(len(gone))
-            texts.append(b"\n".join([x for k, x in enumerate(lines) if k not in gone]) if gone else text or b"")
+            texts.append(b"\n".join([x for k, x in enumerate(lines) if k not in gone]) if gone else text)
         keep = [k for k, f in enumerate(batch.schema) if f.name not in ("_text", "drop")]
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(k) for k in keep], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
@@ -170,35 +170,38 @@ def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40, least_docs: int = 5, broadcast_bytes: int = BROADCAST_BYTES, rest: bool = False) -> DataFrame:
-    """(id, kept_text, n_lines, n_dropped) for every row of docs; with rest, its other columns too, before these.
-
-    A line's key is the line without ASCII white space at its ends, A-Z in lower case. Keys of at least `least_chars`
-    code points that stand in at least `least_docs` documents lose all their lines except in the largest id that
-    holds them. Null and empty texts are one empty line and stay. Documents are told apart by id: rows with equal ids
-    count once. A row with a null id counts for no document and keeps no repeated line. Empty input gives an empty
-    result. Lines may be of any length.
-    """
-    others = [c for c in docs.columns if c not in (id_col, text_col)] if rest else []
+def _deduped(docs: DataFrame, id_col: str, text_col: str, others: list[str], least_chars: int, least_docs: int, broadcast_bytes: int) -> DataFrame:
+    """(_id, _c0 .., kept_text, n_lines, n_dropped): the other columns under names of our own."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(others)])
     # equal ids may have different texts: line numbers belong to (id, hash of text)
     rows = rows.withColumn("_print", F.xxhash64("_text"))
-    drops = repeated_lines(rows, least_chars, least_docs, broadcast_bytes).select(F.col("_id").alias("_i"), F.col("_print").alias("_p"), "drop")
-    key = F.xxhash64("_id", "_print")
-    drops = cut(drops.select(F.xxhash64("_i", "_p").alias("_k"), "_i", "_p", "drop"))
-    # only documents that lose lines need their list: a shuffled hash join streams the texts without sorting them
-    same = (F.col("_k") == key) & F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_p") == F.col("_print"))
+    drops = repeated_lines(rows, least_chars, least_docs, broadcast_bytes)
+    drops = cut(drops.select(F.xxhash64("_id", "_print").alias("_k"), F.col("_id").alias("_i"), F.col("_print").alias("_p"), "drop"))
+    # only documents that lose lines have a list: a shuffled hash join streams the texts without sorting them
+    same = (F.col("_k") == F.xxhash64("_id", "_print")) & F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_p") == F.col("_print"))
     joined = rows.join(drops.hint("shuffle_hash"), same, "left").drop("_k", "_i", "_p", "_print")
-    kinds = dict(joined.dtypes)
-    out = joined.mapInArrow(_rewritten, ", ".join(f"{c} {kinds[c]}" for c in joined.columns if c not in ("_text", "drop")) + ", kept_text string, n_lines long, n_dropped long")
-    names = {"_id": id_col} | {f"_c{k}": c for k, c in enumerate(others)}
-    return out.select(*[F.col(c).alias(names.get(c, c)) for c in out.columns])
+    kept = ", ".join(f"{c} {t}" for c, t in joined.dtypes if c not in ("_text", "drop"))
+    return joined.mapInArrow(_rewritten, kept + ", kept_text string, n_lines long, n_dropped long")
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40, least_docs: int = 5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, kept_text, n_lines, n_dropped) for every row of docs.
+
+    A line's key is the line without ASCII white space at its ends, A-Z in lower case. Keys of at least `least_chars`
+    code points that stand in at least `least_docs` documents lose all their lines except in the largest id that
+    holds them. Null and empty texts are one empty line; a null text stays null. Documents are told apart by id: rows
+    with equal ids count once. A row with a null id counts for no document and keeps no repeated line. Empty input
+    gives an empty result. Lines may be of any length. Other columns are ignored.
+    """
+    out = _deduped(docs, id_col, text_col, [], least_chars, least_docs, broadcast_bytes)
+    return out.withColumnRenamed("_id", id_col)
 
 
 def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
-    """docs with repeated lines taken out of text, n_chars recounted; same columns, same rows. A null text stays null."""
-    out = line_dedup(docs.withColumn("_null", F.col("text").isNull()), least_chars=least_chars, least_docs=least_docs, rest=True)
-    out = out.withColumn("text", F.when(~F.col("_null"), F.col("kept_text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with repeated lines taken out of text, n_chars recounted; same columns, same rows."""
+    others = [c for c in docs.columns if c != "text"]
+    out = _deduped(docs, "doc_id", "text", others, least_chars, least_docs, BROADCAST_BYTES)
+    named = {c: F.col(f"_c{k}") for k, c in enumerate(others)} | {"text": F.col("kept_text")}
+    if "n_chars" in named:
+        named["n_chars"] = F.length("kept_text").cast(dict(docs.dtypes)["n_chars"])
+    return out.select(*[named[c].alias(c) for c in docs.columns])

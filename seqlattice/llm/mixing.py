@@ -92,7 +92,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0,
     taken = mix_counts(docs, weights=weights, cap=cap, seed=seed)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     # repeated ids: each row gets its own number of copies, in turn; join and turn use one partitioning
-    by_id = taken.where("copies > 0").groupBy(key.alias("_key")).agg(F.collect_list("copies").alias("_copies"))
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    own = docs.withColumn("_key", key).join(by_id, "_key").withColumn("_n", F.try_element_at("_copies", turn)).where("_n > 0")
-    return own.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n", "_copies", "_key")
+    by_id = taken.where("copies > 0").groupBy(key.alias("key")).agg(F.collect_list("copies").alias("copies"))
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    rows = docs.select(key.alias("key"), F.struct("*").alias("row")).join(by_id, "key")
+    own = rows.withColumn("n", F.try_element_at("copies", turn)).where("n > 0")
+    return own.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")

@@ -41,7 +41,7 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,11 +176,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """The rows of docs that represent their group: the one with the group's smallest doc_id (one of equal rows; null ids stay).
 
-    All columns of docs are kept as they are.
+    All columns of docs are kept as they are, whatever their names.
     """
-    named = docs.where("doc_id is not null")
-    groups = simhash_groups(named, shingle=shingle, radius=radius)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    kept = named.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    first = kept.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("_row = 1").drop("_row")
-    return first.unionByName(docs.where("doc_id is null"))
+    prints = simhash_groups(docs.where("doc_id is not null"), shingle=shingle, radius=radius)
+    keep = prints.where("doc_id = component_id").select(F.col("doc_id").alias("keep"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
+    kept = rows.where("id is not null").join(keep, F.col("id") == F.col("keep"), "left_semi")
+    first = kept.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("id"))).where("n = 1")
+    return first.select("row.*").unionByName(rows.where("id is null").select("row.*"))
