@@ -26,6 +26,7 @@ SPACE = b" \t\n\r\x0b\x0c"
 BITS_A_HASH, PROBES = 12, 4
 #: Most bytes of filters broadcast at once.
 BROADCAST_BYTES = 32 << 20
+#: Least bits of a hash that name its segment; as many segments as shuffle partitions, at least, so owners stay small.
 SEGMENT_BITS = 8
 
 
@@ -72,13 +73,13 @@ def seen_filters(parts: list[np.ndarray]) -> np.ndarray:
     return twice
 
 
-def _hashed(least: int):
+def _hashed(least: int, segment_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [_digest(key) for text in binary_column(batch, "_text") for _, key in eligible(text, least)]
             values, counts = np.unique(np.array(got, np.uint64), return_counts=True)
             h = np.repeat(values, np.minimum(counts, 2))  # twice says as much as often: a very common line stays small
-            segment = (h >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
+            segment = (h >> np.uint64(64 - segment_bits)).astype(np.int64)
             own, at = np.unique(segment, return_index=True)
             ends = np.append(at[1:], len(h)) if len(h) else at
             yield pa.RecordBatch.from_arrays(
@@ -93,7 +94,7 @@ def _merged(table: pa.Table) -> pa.Table:
     return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([len(twice)], pa.int64()), "twice": pa.array([np.packbits(twice).tobytes()], pa.binary())})
 
 
-def _suspects(least: int, filters):
+def _suspects(least: int, segment_bits: int, filters):
     """Of each document, once for each key that may repeat: (row, key, line numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +107,7 @@ def _suspects(least: int, filters):
                     numbers.append(n)
                     keys.append(key)
             h = np.array(list(map(_digest, keys)), np.uint64)
-            segment = (h >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
+            segment = (h >> np.uint64(64 - segment_bits)).astype(np.int64)
             hit = np.zeros(len(h), bool)
             for s in np.unique(segment).tolist():
                 if s in tables:
@@ -130,9 +131,10 @@ def repeated_lines(rows: DataFrame, least_chars: int = 40, least_docs: int = 5,
     spark = rows.sparkSession
     prepare(spark)
     text = rows.select("_text")
-    filters = cut(text.mapInArrow(_hashed(least_chars), "segment int, hashes binary").groupBy("segment").applyInArrow(_merged, "segment int, bits long, twice binary"))
+    bits = max(SEGMENT_BITS, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    filters = cut(text.mapInArrow(_hashed(least_chars, bits), "segment int, hashes binary").groupBy("segment").applyInArrow(_merged, "segment int, bits long, twice binary"))
     rounds, room = [], 0
-    for r in sorted(filters.select("segment", F.length("twice").alias("n")).collect()):  # 2 ** SEGMENT_BITS rows at most
+    for r in sorted(filters.select("segment", F.length("twice").alias("n")).collect()):  # a row for each segment
         if not rounds or r.n > room:
             rounds.append([])
             room = broadcast_bytes
@@ -141,7 +143,7 @@ def repeated_lines(rows: DataFrame, least_chars: int = 40, least_docs: int = 5,
     suspects = None
     for segments in rounds:
         share = {r.segment: (r.bits, bytes(r.twice)) for r in filters.where(F.col("segment").isin(segments)).collect()}
-        found = rows.select("_id", "_print", "_text").mapInArrow(_suspects(least_chars, spark.sparkContext.broadcast(share)), "_id long, _print long, key string, lines array<int>")
+        found = rows.select("_id", "_print", "_text").mapInArrow(_suspects(least_chars, bits, spark.sparkContext.broadcast(share)), "_id long, _print long, key string, lines array<int>")
         suspects = found if suspects is None else suspects.unionByName(found)
     if suspects is None:
         return spark.createDataFrame([], "_id long, _print long, drop array<int>")

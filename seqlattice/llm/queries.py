@@ -147,6 +147,27 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
   sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id"""
 
+_QUOTE_SQL = rf"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, row_number() OVER () AS r FROM conversations),
+l AS (SELECT r, conv_id AS c, turn AS t, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM m),
+v AS (SELECT *, length(regexp_replace(regexp_extract(line, '{quotes.MARKS}'), '[^>]', '', 'g')) AS level,
+      translate(trim(regexp_replace(regexp_replace(line, '{quotes.MARKS}', ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '{_UPPER}', '{_LOWER}') AS p FROM l),
+own AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (level = 0), '') AS text, count(*) FILTER (level > 0) AS n_quoted, max(level) AS max_level FROM v GROUP BY r),
+long AS (SELECT * FROM v WHERE length(p) >= {quotes.LEAST_CHARS} AND c IS NOT NULL AND t IS NOT NULL),
+q AS (SELECT c, t, p, min(level) AS level FROM long WHERE level > 0 GROUP BY ALL),
+o AS (SELECT c, p, min(t) AS ot FROM long WHERE level = 0 GROUP BY ALL),
+g AS (SELECT p, c AS gc, ot AS gt FROM o QUALIFY row_number() OVER (PARTITION BY p ORDER BY c, ot) = 1),
+k AS (SELECT q.c, q.t, q.level, CASE WHEN o.ot < q.t THEN q.c WHEN g.gc <> q.c THEN g.gc END AS rc, CASE WHEN o.ot < q.t THEN o.ot WHEN g.gc <> q.c THEN g.gt END AS rt
+      FROM q LEFT JOIN o ON q.c = o.c AND q.p = o.p LEFT JOIN g ON q.p = g.p),
+votes AS (SELECT c, t, rc, rt, min(level) AS level, count(*) AS n FROM k WHERE rc IS NOT NULL GROUP BY ALL),
+b AS (SELECT *, sum(n) OVER (PARTITION BY c, t) AS n_linked FROM votes QUALIFY row_number() OVER (PARTITION BY c, t ORDER BY level, n DESC, rc <> c, rt DESC, rc) = 1),
+up AS (SELECT c, t, rc AS root_c, rt AS root_t, 1 AS depth FROM b UNION ALL SELECT up.c, up.t, b.rc, b.rt, depth + 1 FROM up JOIN b ON up.root_c = b.c AND up.root_t = b.t WHERE depth <= (SELECT count(*) FROM b)),
+root AS (SELECT up.* FROM up LEFT JOIN b ON up.root_c = b.c AND up.root_t = b.t WHERE b.c IS NULL)
+SELECT m.conv_id, m.turn, m.role, own.text, coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(max_level, 0)::BIGINT AS max_level, coalesce(n_linked, 0)::BIGINT AS n_linked,
+  b.rc AS reply_conv, b.rt AS reply_turn, CASE WHEN b.c IS NULL THEN m.conv_id ELSE root.root_c END AS thread_conv,
+  CASE WHEN b.c IS NULL THEN m.turn ELSE root.root_t END AS thread_turn, CASE WHEN b.c IS NULL THEN 0 ELSE root.depth END::BIGINT AS depth
+FROM m LEFT JOIN own USING (r) LEFT JOIN b ON m.conv_id = b.c AND m.turn = b.t LEFT JOIN root ON m.conv_id = root.c AND m.turn = root.t"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _license_sql(), "op3_embedding_dedup": _EMBEDDING_SQL, "op4_source_mixing": _MIXING_SQL, "op5_line_dedup": _LINE_SQL}
+    return {"op1_license_scan": _license_sql(), "op3_embedding_dedup": _EMBEDDING_SQL, "op4_source_mixing": _MIXING_SQL, "op5_line_dedup": _LINE_SQL, "op8_quote_linking": _QUOTE_SQL}

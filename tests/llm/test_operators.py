@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqlattice.llm import common, decontam, embedding_dedup, langid, license_scan, line_dedup, mixing, pii, quality, quotes, simhash
+from seqlattice.llm import common, decontam, embedding_dedup, langid, license_scan, line_dedup, mixing, pii, quality, queries, quotes, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _id string, _text string, fp string, rep string, key string, row string, n string, kept_text string, copies string"
 LONG = " ".join(f"w{k % 997}" for k in range(60_000))
@@ -340,6 +340,13 @@ def test_quotes(spark):
     assert by[2, 0].thread_conv == 1 and by[1, 2].text == "And a third answer." and by[1, 2].n_quoted == 2 and by[1, 2].max_level == 2 and by[1, 2].n_linked == 2
     assert by[2, 1].text is None and by[None, 4].text == "" and by[3, 0].n_quoted == 3 and by[3, 0].n_linked == 0 and by[2, 2].text == ""
     assert quotes.link_quotes(df.limit(0)).count() == 0
+    # the SQL of the query gives the same rows, on quotes that the test tables lack
+    con = __import__("duckdb").connect()
+    conversations = df.select("conv_id", "turn", "role", "text").distinct().toPandas()  # noqa: F841
+    con.register("conversations", conversations.astype({"conv_id": "Int64"}))
+    want = con.execute(queries.oracle_sql()["op8_quote_linking"]).fetchall()
+    names = [d[0] for d in con.description]
+    assert sorted(str([r[names.index(c)] for c in got[0].__fields__]) for r in want) == sorted({str(list(r)) for r in got})
 
 
 # SimHash
