@@ -60,6 +60,14 @@ def kmer_counts(df: DataFrame, id_col: str, seq_col: str, k: int = 4) -> DataFra
     return df.select(id_col, F.explode(found).alias("kmer")).groupBy(id_col, "kmer").agg(F.count("*").alias("n"))
 
 
+def split_features(manifest: DataFrame, seqs: DataFrame, id_col: str, seq_col: str, k: int = 4) -> DataFrame:
+    """(split, pos, id, x) for a manifest (id, split, pos); running it fails on an id without a sequence."""
+    joined = manifest.join(seqs.select(id_col, F.col(seq_col).alias("_seq")), id_col, "left")
+    missing = F.raise_error(F.concat(F.lit("no sequence for "), F.col(id_col).cast("string"))).cast("string")
+    checked = joined.withColumn("_seq", F.when(F.col("_seq").isNull(), missing).otherwise(F.col("_seq")))
+    return manifest.join(kmer_frequencies(checked, id_col, "_seq", k), id_col).select("split", "pos", id_col, "x")
+
+
 def log_length(seq: Column) -> Column:
     return F.log1p(F.length(seq).cast("double"))
 

@@ -83,3 +83,34 @@ def mean_d(p: DataFrame) -> Column:
 
 def mean_g(p: DataFrame) -> Column:
     return F.concat(p["first_vec"], p["last_vec"], p["mean_vec"], p["max_vec"])
+
+
+def variant_dataset(features: DataFrame, pooled_vectors: DataFrame, id_col: str, pooling: str, hidden: int) -> DataFrame:
+    """features with x replaced by a pooled vector (id, x); running it fails on a missing id or a wrong width."""
+    width = pooled_width(pooling, hidden)
+    joined = features.drop("x").join(pooled_vectors.select(id_col, "x"), id_col, "left")
+    problem = F.when(F.col("x").isNull(), F.concat(F.lit("missing "), F.col(id_col).cast("string"))).when(F.size("x") != width, F.lit("wrong width"))
+    return joined.withColumn("x", F.when(problem.isNotNull(), F.raise_error(problem).cast("array<double>")).otherwise(F.col("x")))
+
+
+def flat_mean(tokens: DataFrame, id_col: str, chunk_col: str = "chunk_no", vec_col: str = "vec") -> DataFrame:
+    """(id, x): mean over chunks of the mean over each chunk's tokens."""
+    parts = tokens.select(id_col, chunk_col, F.posexplode(vec_col).alias("i", "v"))
+    chunk = parts.groupBy(id_col, chunk_col, "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    dims = chunk.groupBy(id_col, "i").agg(F.avg("v").alias("v"))
+    return dims.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("x"))
+
+
+def bin_means(bins: DataFrame, id_col: str, centre: int, bin_col: str = "bin", vec_col: str = "vec") -> DataFrame:
+    """(id, global_vec, centre_vec): mean over all bins, and over the `centre` bins around the middle."""
+    from pyspark.sql import Window
+
+    n = F.count("*").over(Window.partitionBy(id_col))
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy(bin_col)) - 1
+    first = F.greatest(F.floor((n - centre) / 2), F.lit(0))
+    inner = bins.withColumn("_in", (place >= first) & (place < first + centre))
+    dims = inner.select(id_col, "_in", F.posexplode(vec_col).alias("i", "v")).groupBy(id_col, "i").agg(
+        F.avg(F.col("v").cast("double")).alias("g"), F.avg(F.when(F.col("_in"), F.col("v").cast("double"))).alias("c")
+    )
+    rows = dims.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("i", "g", "c"))).alias("d"))
+    return rows.select(id_col, F.transform("d", lambda x: x["g"]).alias("global_vec"), F.transform("d", lambda x: x["c"]).alias("centre_vec"))

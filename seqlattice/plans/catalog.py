@@ -479,6 +479,14 @@ def _(spark, d):
     return x.select("doc_id", F.posexplode("x").alias("k", "share")).where("share > 0").select("doc_id", F.col("k").cast("long").alias("k"), "share")
 
 
+@query("q2_split_features", f"WITH {cte('seqs')} SELECT {_SPLIT.format(s='lang', k='doc_id')} AS split, doc_id, regexp_matches(seq, '[ACGT]{{4}}') AS any_kmer FROM seqs")
+def _(spark, d):
+    seqs = spark_view(spark, d, "seqs")
+    manifest = curation.stratified_split(seqs.select("doc_id", "lang"), "doc_id", "lang").select("doc_id", "split", F.col("doc_id").alias("pos"))
+    x = sequence.split_features(manifest, seqs, "doc_id", "seq")
+    return x.select("split", "doc_id", F.exists("x", lambda v: v > 0).alias("any_kmer"))
+
+
 @query("q3_log_length", f"WITH {cte('seqs')} SELECT doc_id, round(ln(1 + length(seq)), 9) AS x FROM seqs")
 def _(spark, d):
     return spark_view(spark, d, "seqs").select("doc_id", F.round(sequence.log_length(F.col("seq")), 9).alias("x"))
@@ -576,6 +584,27 @@ def _(spark, d):
     return z.select("label", F.col("i").cast("long").alias("i"), *[F.round(F.col(f"e.{c}"), 8).alias(c) for c in ("mean", "special_mean", "max", "cls")])
 
 
+@query("v9_variant_dataset", f"WITH {_POOLED} SELECT label, 192::BIGINT AS width, round(sum(mean_v) + sum(first_v) + sum(last_v), 6) AS s FROM d GROUP BY label")
+def _(spark, d):
+    p = _pooled(spark, d)
+    features = _t(spark, d, "embeddings").select("label").distinct().withColumn("x", F.array(F.lit(0.0)))
+    out = vector.variant_dataset(features, p.select("label", vector.mean_d(p).alias("x")), "label", "meanD", 64)
+    return out.select("label", F.size("x").cast("long").alias("width"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("s"))
+
+
+@query("v11_flat_mean", "WITH x AS (SELECT label, vec_id % 7 AS c, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)), c AS (SELECT label, c, i, avg(v) AS v FROM x GROUP BY ALL) SELECT label, i - 1 AS i, round(avg(v), 8) AS v FROM c GROUP BY label, i")
+def _(spark, d):
+    e = _t(spark, d, "embeddings").select("label", (F.col("vec_id") % 7).alias("chunk_no"), F.col("embedding").alias("vec"))
+    return vector.flat_mean(e, "label").select("label", F.posexplode("x").alias("i", "v")).select("label", F.col("i").cast("long").alias("i"), F.round("v", 8).alias("v"))
+
+
+@query("v12_bin_means", "WITH b AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings), x AS (SELECT label, i, embedding[i]::DOUBLE AS v, k >= greatest(floor((n - 4) / 2), 0) AND k < greatest(floor((n - 4) / 2), 0) + 4 AS c FROM b, range(1, 65) t(i)) SELECT label, i - 1 AS i, round(avg(v), 8) AS g, round(avg(v) FILTER (c), 8) AS c FROM x GROUP BY label, i")
+def _(spark, d):
+    e = _t(spark, d, "embeddings").select("label", F.col("vec_id").alias("bin"), F.col("embedding").alias("vec"))
+    z = vector.bin_means(e, "label", 4).select("label", F.posexplode(F.arrays_zip("global_vec", "centre_vec")).alias("i", "e"))
+    return z.select("label", F.col("i").cast("long").alias("i"), F.round("e.global_vec", 8).alias("g"), F.round("e.centre_vec", 8).alias("c"))
+
+
 @query("v13_normalised", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 8) AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 8) AS first FROM embeddings")
 def _(spark, d):
     e = F.col("embedding")
