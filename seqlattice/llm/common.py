@@ -53,6 +53,36 @@ def forest(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
+def forest_pairs(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]], forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forests of linked index pairs, made of pairs that were given; of each batch, earlier pairs are preferred.
+
+    Pairs that the first forest does not take are open to the next: any set of nodes that `forests` pairs connect to
+    the rest keeps that many, so some pairs may be taken away later. There are fewer than forests * n pairs.
+    """
+    roots = [np.arange(n) for _ in range(forests)]
+    left, right = [], []
+    for i, j in pairs:
+        for f in range(forests):
+            root, open_ = roots[f], np.ones(len(i), bool)
+            at = np.arange(len(i))
+            while True:
+                a, b = root[i[at]], root[j[at]]
+                at, a, b = at[a != b], a[a != b], b[a != b]
+                if not len(at):
+                    break
+                high, first = np.unique(np.maximum(a, b), return_index=True)
+                left.append(i[at[first]])
+                right.append(j[at[first]])
+                open_[at[first]] = False
+                root[high] = np.minimum(a, b)[first]
+                while not np.array_equal(up := root[root], root):
+                    root = up
+            roots[f] = root
+            i, j = i[open_], j[open_]
+    empty = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an undirected edge list, component being the smallest reachable node.
 

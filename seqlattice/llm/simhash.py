@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlattice.llm.common import binary_column, components, cut, forest, prepare
+from seqlattice.llm.common import binary_column, components, cut, forest_pairs, prepare
 
 BITS = 64
 #: Most fingerprints that one side of a tile holds.
 TILE = 2048
 #: Small buckets are laid side by side in one block of about this many fingerprints.
 BLOCK = 512
+#: Spanning forests of proposed links where links are verified, so that a group holds together when some of them fall.
+FORESTS = 4
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -111,11 +113,15 @@ def _above(count: list[np.ndarray], radius: int) -> np.ndarray:
     return above
 
 
-def _links(radius: int):
+def _links(radius: int, forests: int):
+    def nearest_first(values: np.ndarray):
+        for i, j in within_radius(values, radius):
+            order = np.argsort(np.bitwise_count(values[i] ^ values[j]), kind="stable")
+            yield i[order], j[order]
+
     def joined(values: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
-        root = forest(len(values), within_radius(values, radius))
-        child = np.nonzero(root != np.arange(len(root)))[0]
-        return pa.RecordBatch.from_arrays([pa.array(ids[child]), pa.array(ids[root[child]])], names=["a", "b"]) if len(child) else None
+        i, j = forest_pairs(len(values), nearest_first(values), forests)
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"]) if len(i) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,8 +141,8 @@ def _links(radius: int):
     return run
 
 
-def fingerprint_links(classes: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) that connect the representatives of all classes (fp, rep) within the radius; a spanning forest per tile."""
+def fingerprint_links(classes: DataFrame, radius: int = 2, tile: int = TILE, forests: int = 1) -> DataFrame:
+    """Links (a, b) that connect the representatives of all classes (fp, rep) within the radius: spanning forests of each tile."""
     prepare(classes.sparkSession)
     bands = radius + 2
     cuts = [round(BITS * k / bands) for k in range(bands + 1)]
@@ -151,7 +157,7 @@ def fingerprint_links(classes: DataFrame, radius: int = 2, tile: int = TILE) ->
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"))))
     rows = rows.withColumn("own", own).select("t", "x", "y", "fp", "rep", pair.alias("pair"))
     tiles = rows.groupBy("t", "x", "y", "pair").agg(F.collect_list(F.struct("fp", "rep")).alias("items")).where(F.size("items") > 1)
-    return tiles.select("items").mapInArrow(_links(radius), "a long, b long")
+    return tiles.select("items").mapInArrow(_links(radius, forests), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -173,13 +179,82 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+def _texts(shingle: int):
+    """Fingerprint and a digest of the words of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            texts = binary_column(batch, "_text")
+            values = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            digests = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), pa.array(digests, pa.binary())], names=["_id", "fp", "digest"])
+
+    return run
+
+
+def shingle_set(text: bytes | None, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text, of the whole sequence if it is shorter."""
+    import xxhash
+
+    w = (text or b"").lower().split()
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(w[k : k + words])) for k in range(max(1, len(w) - words + 1))], np.uint64))
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [shingle_set(t, words).tobytes() for t in binary_column(batch, "_text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["_id", "s"])
+
+    return run
+
+
+def _similar(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    return run
+
+
+def verified_groups(docs: DataFrame, shingle: int = 3, radius: int = 6, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for every row of docs with a doc_id: groups of texts that are nearly equal.
+
+    Texts with the same words are one class. Fingerprints within the radius propose links, the nearest first; a link
+    stands if the texts' sets of `words`-word shingles have a Jaccard similarity of `similarity` at least. Only texts
+    that some link proposes are fetched for this.
+    """
+    prepare(docs.sparkSession)
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    prints = cut(rows.mapInArrow(_texts(shingle), "_id long, fp long, digest binary"))
+    classes = cut(prints.groupBy("fp", "digest").agg(F.min("_id").alias("rep")))
+    proposed = fingerprint_links(classes, radius, forests=FORESTS)
+    proposed = cut(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = proposed.select(F.explode(F.array("a", "b")).alias("_rep")).distinct()
+    # of repeated ids, the row with the class's words; texts are streamed past the ids, not sorted
+    some = rows.join(ends.hint("shuffle_hash"), F.col("_id") == F.col("_rep"), "left_semi")
+    sets = cut(some.mapInArrow(_sets(words), "_id long, s binary").groupBy("_id").agg(F.min("s").alias("s")))
+    pairs = proposed.join(sets.select(F.col("_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("_id").alias("b"), F.col("s").alias("y")), "b")
+    links = pairs.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+    found = components(links).withColumnRenamed("node", "rep")
+    named = classes.join(found, "rep", "left").select("fp", "digest", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, ["fp", "digest"]).select(F.col("_id").alias("doc_id"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 6, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that represent their group: the one with the group's smallest doc_id (one of equal rows; null ids stay).
 
     All columns of docs are kept as they are, whatever their names.
     """
-    prints = simhash_groups(docs.where("doc_id is not null"), shingle=shingle, radius=radius)
-    keep = prints.where("doc_id = component_id").select(F.col("doc_id").alias("keep"))
+    groups = verified_groups(docs, shingle, radius, words, similarity)
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("keep"))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
     kept = rows.where("id is not null").join(keep, F.col("id") == F.col("keep"), "left_semi")
     first = kept.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("id"))).where("n = 1")

@@ -374,7 +374,7 @@ def test_simhash(spark, radius, tile, monkeypatch):
             words[r.randrange(len(words))] = "É" + str(r.randrange(9))
         rows.append((100 + k, " ".join(words).upper() if k % 7 == 0 else " ".join(words)))
     df = docs_of(spark, rows)
-    monkeypatch.setattr(simhash.fingerprint_links, "__defaults__", (radius, tile))
+    monkeypatch.setattr(simhash.fingerprint_links, "__defaults__", (radius, tile, 1))
     got = simhash.simhash_groups(df, radius=radius).collect()
     fps = [brute_fingerprint(t) for _, t in rows]
     assert sorted((str(x.doc_id), x.fingerprint) for x in got) == sorted((str(i), f"{f:016x}") for (i, _), f in zip(rows, fps, strict=True))
@@ -386,8 +386,41 @@ def test_simhash(spark, radius, tile, monkeypatch):
     root = root_of(pairs, set(reps.values()))
     want = sorted((str(i), str(root[reps[f]]) if f in reps else "None") for (i, _), f in zip(rows, fps, strict=True))
     assert sorted((str(x.doc_id), str(x.component_id)) for x in got) == want and pairs
-    kept = simhash.drop_near_duplicates(df, radius=radius)
-    assert kept.columns == df.columns and sorted(str(x.doc_id) for x in kept.select("doc_id").collect()) == sorted([str(c) for c in set(root.values())] + ["None"] * 2)
+
+
+def test_near_duplicates_are_verified(spark):
+    r = random.Random(11)
+    base = [[f"v{r.randrange(5000)}" for _ in range(r.randrange(60, 300))] for _ in range(20)]
+    rows = [x for x in ODD if x[1] != LONG]
+    for k in range(120):
+        words = list(r.choice(base))
+        for _ in range(r.choice([0, 1, 2, 30])):
+            words[r.randrange(len(words))] = f"n{r.randrange(9999)}"
+        rows.append((100 + k, " ".join(words)))
+    df = docs_of(spark, rows)
+    got = {x.doc_id: x.component_id for x in simhash.verified_groups(df).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(max(1, len(w) - 4))} for i, t in rows if i is not None}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    near = lambda a, b: (brute_fingerprint(text[a]) ^ brute_fingerprint(text[b])).bit_count() <= 6
+    text = {i: t for i, t in rows if i is not None}
+    all_alike = root_of([p for p in itertools.combinations(sets, 2) if alike(*p)], sets)
+    sure = root_of([p for p in itertools.combinations(sets, 2) if alike(*p) and near(*p)], sets)
+    assert set(got) == set(sets)
+    # never more than the similar texts, and nearly all that fingerprints can see
+    assert all(all_alike[i] == all_alike[c] for i, c in got.items())
+    assert sum(got[i] == sure[i] for i in got) > 0.97 * len(got) and len(set(got.values())) < len(got) - 30
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns and sorted(str(x.doc_id) for x in kept.select("doc_id").collect()) == sorted([*map(str, set(got.values())), "None", "None"])
+
+
+def test_forest_pairs():
+    r = np.random.default_rng(1)
+    pairs = [tuple(r.integers(0, 200, (2, 60))) for _ in range(3)]
+    i, j = common.forest_pairs(200, pairs)
+    given = {(a, b) for x, y in pairs for a, b in zip(x.tolist(), y.tolist())}
+    assert set(zip(i.tolist(), j.tolist())) <= given
+    root = common.forest(200, pairs)
+    assert (common.forest(200, [(i, j)]) == root).all() and len(i) == 200 - len(set(root.tolist()))
 
 
 def test_bit_slices_find_every_pair():
