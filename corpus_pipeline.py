@@ -21,8 +21,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: fingerprints of three-word shingles within 6 of 64 bits (a cosine of about 0.96)."""
-    return simhash.drop_near_duplicates(docs, shingle=3, radius=6)
+    """One document of each group: fingerprints within 6 bits propose links, a Jaccard similarity of 0.8 of five-word shingles confirms them."""
+    return simhash.drop_near_duplicates(docs, shingle=3, radius=6, words=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
