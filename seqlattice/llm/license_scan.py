@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +49,22 @@ def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def words_of(text: Column) -> Column:
+    """Words by splitting at the gaps; matching the words themselves, a negated class, takes ten times as long."""
+    return F.array_remove(F.split(text, GAP), "")
+
+
 def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(lowered(text), GAP), "")
+    return words_of(lowered(text))
+
+
+def may_hold(low: Column, sets: list[list[str]]) -> Column:
+    """Whether lower-cased text holds, as parts, all words of some set: plain substring search, the longest words first.
+
+    lower() keeps every ASCII letter, so that nothing is lost; what passes is decided exactly after.
+    """
+    every = [reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in sorted(set(ws), key=lambda w: (-len(w), w))]) for ws in sets]
+    return reduce(lambda a, b: a | b, every)
 
 
 def token_order(docs: DataFrame, text: Column, templates: Mapping[str, str]) -> list[str]:
@@ -69,8 +84,8 @@ def block_matches(rows: DataFrame, order: list[str], templates: Mapping[str, str
     need = {t: math.ceil(threshold * len(s) - 1e-9) for t, _, s in sets}
     prefixes = [(s[k], t, label, k, len(s), need[t], s) for t, label, s in sets for k in range(len(s) - need[t] + 1)]
     table = F.broadcast(spark.createDataFrame(prefixes, "token string, template string, label string, tpos int, tsize int, need int, tset array<string>"))
-    # lines that hold a prefix token as a part of their text; what a line's tokens are is decided after
-    some = "(?i)" + "|".join(sorted({p[0] for p in prefixes}))
+    # lines that hold a prefix token as a word
+    some = f"(?i)(?<!{WORD})(?:{'|'.join(sorted({p[0] for p in prefixes}))})(?!{WORD})"
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(some))
     blocks = rows.where(F.col("_text").rlike(some)).select("_id", "_print", F.explode(lines).alias("line"))
     block = blocks.select("_id", "_print", F.array_intersect(F.array(*[F.lit(w) for w in order]), tokens(F.col("line"))).alias("b"))
@@ -101,9 +116,10 @@ def scan(
     labels = labels.select(F.col("_id").alias("_i"), F.col("_print").alias("_p"), "found", "best")
 
     split = {p: p.split() for p in phrases}
-    any_phrase = "(?i)" + "|".join(f"(?<!{WORD}){GAP.join(w)}(?!{WORD})" for w in split.values())
-    words = F.when(F.col("_text").rlike(any_phrase), tokens(F.col("_text"))).otherwise(F.array().cast("array<string>"))
-    base = rows.select("_id", "_print", F.coalesce(F.regexp_count("_text", F.lit(WORD + "+")), F.lit(0)).cast("long").alias("n_words"), words.alias("w"))
+    any_phrase = f"(?i)(?<!{WORD})(?:{'|'.join(GAP.join(w) for w in split.values())})(?!{WORD})"
+    rows = rows.withColumn("_low", F.lower("_text"))
+    words = F.when(may_hold(F.col("_low"), list(split.values())) & F.col("_text").rlike(any_phrase), tokens(F.col("_text"))).otherwise(F.array().cast("array<string>"))
+    base = rows.select("_id", "_print", F.size(words_of(F.col("_text"))).cast("long").alias("n_words"), words.alias("w"))
 
     def places(phrase: list[str]) -> Column:
         first = F.sequence(F.lit(0), F.size("w") - len(phrase))
