@@ -22,14 +22,19 @@ ROUNDS = 8
 WALK = 64
 _DAYS = 73_049  # 1900-01-01 to 2099-12-31
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_DATE = r"(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])"
+_YEAR, _MONTH, _DAY = r"(?:19|20)[0-9]{2}", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12][0-9]|3[01])"
+_DATE = f"{_YEAR}-{_MONTH}-{_DAY}"
+#: Other orders of day, month and year, in the order in which they are tried.
+_ORDERS = {"dd/MM/yyyy": f"{_DAY}/{_MONTH}/{_YEAR}", "MM/dd/yyyy": f"{_MONTH}/{_DAY}/{_YEAR}", "dd.MM.yyyy": rf"{_DAY}\.{_MONTH}\.{_YEAR}"}
 #: Kinds in the order in which they are tried at a place of the text. Fixed formats.
 KINDS: dict[str, str] = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ipv4": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "date": rf"(?<![0-9-]){_DATE}(?![0-9-])",
+    "date_other": rf"(?<![0-9/.])(?:{'|'.join(_ORDERS.values())})(?![0-9/])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+])\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
+    "phone": r"(?<![0-9+])\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+-])(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "access_key": r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "hex_secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
@@ -137,10 +142,55 @@ def _ipv4(m: Column, key: str) -> Column:
     return _bound(feistel(raw, key + "|ipv4", _HEX), lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), octet(h)), "."))
 
 
-def _date(m: Column, key: str) -> Column:
-    day = F.lpad(F.datediff(F.try_to_date(m, "yyyy-MM-dd"), F.lit("1900-01-01").cast("date")).cast("string"), 5, "0")
+def _date(m: Column, key: str, order: str = "yyyy-MM-dd") -> Column:
+    day = F.lpad(F.datediff(F.try_to_date(m, order), F.lit("1900-01-01").cast("date")).cast("string"), 5, "0")
     walked = _walked(day, lambda v: feistel(v, key + "|date"), lambda v: v.cast("int") < _DAYS)
-    return F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), walked.cast("int")), "yyyy-MM-dd")
+    return F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), walked.cast("int")), order)
+
+
+def _order_of(m: Column) -> Column:
+    """First order of day and month in which the string is a date; null if there is none."""
+    out = F.lit(None).cast("string")
+    for order in reversed(_ORDERS):
+        out = F.when(m.rlike(f"^{_ORDERS[order]}$") & F.try_to_date(m, order).isNotNull(), F.lit(order)).otherwise(out)
+    return out
+
+
+def _date_other(m: Column, key: str) -> Column:
+    out = m
+    for order in _ORDERS:
+        out = F.when(_order_of(m) == order, _date(m, key, order)).otherwise(out)
+    return out
+
+
+def mod97(s: Column) -> Column:
+    """Remainder of a string read as a number, letters counting 10 to 35."""
+    letters = F.filter(F.split(s, ""), lambda c: c.rlike("[0-9A-Z]"))
+    return F.aggregate(letters, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + (F.ascii(c) - 48)).otherwise(a * 100 + F.ascii(c) - 55) % 97)
+
+
+def is_iban(m: Column) -> Column:
+    return _bound(F.regexp_replace(m, " ", ""), lambda d: mod97(F.concat(F.substring(d, 5, 64), F.substring(d, 1, 4))) == 1)
+
+
+def _iban(m: Column, key: str) -> Column:
+    """Country kept, account permuted, check digits made anew; blanks stay where they are."""
+    plain = F.regexp_replace(m, " ", "")
+    country = F.substring(m, 1, 2)
+    made = _bound(
+        feistel(F.substring(plain, 5, 64), key + "|iban"),
+        lambda b: F.concat(country, F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b),
+    )
+
+    def spaced(whole: Column) -> Column:
+        def step(s: Column, c: Column) -> Column:
+            blank = c == " "
+            return F.struct(F.concat(s["out"], F.when(blank, c).otherwise(F.substring(whole, s["k"], F.lit(1)))).alias("out"), F.when(blank, s["k"]).otherwise(s["k"] + 1).alias("k"))
+
+        start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
+        return F.aggregate(F.filter(F.split(m, ""), lambda c: c != ""), start, step, lambda s: s["out"])
+
+    return _bound(made, spaced)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -174,7 +224,7 @@ def _password(m: Column, key: str) -> Column:
     return F.concat(name, F.lit("="), feistel(F.substring(m, F.length(name) + 2, F.length(m)), key + "|password", _HEX))
 
 
-_MAKE = {"email": _email, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card, "access_key": _access_key, "hex_secret": _hex_secret, "password": _password}
+_MAKE = {"email": _email, "ipv4": _ipv4, "date": _date, "date_other": _date_other, "iban": _iban, "ssn": _ssn, "phone": _phone, "card": _card, "access_key": _access_key, "hex_secret": _hex_secret, "password": _password}
 _EVERY = "|".join(f"(?:{p})" for p in KINDS.values())
 
 
@@ -185,6 +235,10 @@ def kind_of(m: Column) -> Column:
         ok = m.rlike(f"^(?:{KINDS[kind]})$")
         if kind == "card":
             ok = ok & is_card(m)
+        if kind == "date_other":
+            ok = ok & _order_of(m).isNotNull()
+        if kind == "iban":
+            ok = ok & is_iban(m)
         if kind == "date":
             ok = ok & F.try_to_date(m, "yyyy-MM-dd").isNotNull()
         out = F.when(ok, F.lit(kind)).otherwise(out)

@@ -322,6 +322,26 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(docs, "other").where("doc_id = 1").first().text != new and pii.pseudonymise(docs_of(spark, []), "k").count() == 0
 
 
+def iban_ok(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_more_formats(spark):
+    text = "born 31/12/1999 or 12/31/1999 or 31.12.1999 not 31/02/1999x, (743) 555-3824 or 743-555-3824, IBAN GB82 WEST 1234 5698 7654 32 or DE89370400440532013000 not DE88370400440532013000"
+    got = pii.pseudonymise(docs_of(spark, [(1, text), (2, "31/12/1999")]), "k").collect()
+    row = next(r for r in got if r.doc_id == 1)
+    kinds, values = [f.kind for f in row.found], [f.value for f in row.found]
+    assert kinds == ["date_other"] * 3 + ["phone"] * 2 + ["iban"] * 2
+    assert iban_ok(values[5]) and iban_ok(values[6]) and values[5][:2] == "GB" and [len(x) for x in values[5].split()] == [4, 4, 4, 4, 4, 2]
+    for old in ("31/12/1999", "12/31/1999", "31.12.1999", "555-3824", "WEST", "DE8937"):
+        assert old not in row.text
+    assert "31/02/1999x" in row.text and "DE88370400440532013000" in row.text
+    # one day, one pseudonym, in each order
+    parts = [values[0].split("/"), values[1].split("/"), values[2].split(".")]
+    assert parts[0] == parts[2] == [parts[1][1], parts[1][0], parts[1][2]] and next(r for r in got if r.doc_id == 2).text == values[0]
+
+
 # quotes
 
 
