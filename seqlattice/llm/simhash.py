@@ -113,29 +113,47 @@ def _above(count: list[np.ndarray], radius: int) -> np.ndarray:
     return above
 
 
-def _links(radius: int, forests: int):
-    def nearest_first(values: np.ndarray):
+def first_table(differ: np.ndarray, cuts: list[int]) -> np.ndarray:
+    """Number of the first pair of bands without a bit of `differ`, in the order of combinations(); -1 if there is none."""
+    bands = len(cuts) - 1
+    number = np.full((bands, bands), -1)
+    for t, (i, j) in enumerate(combinations(range(bands), 2)):
+        number[i, j] = t
+    equal = np.stack([(differ >> np.uint64(cuts[k])) & np.uint64((1 << (cuts[k + 1] - cuts[k])) - 1) == 0 for k in range(bands)])
+    first = equal.argmax(axis=0)
+    equal[first, np.arange(len(differ))] = False
+    return number[first, equal.argmax(axis=0)]
+
+
+def _links(radius: int, forests: int, cuts: list[int]):
+    def nearest_first(values: np.ndarray, table: np.ndarray, whole: np.ndarray, part: np.ndarray):
+        """Each pair once: in the first table that both share, and in the tile of both of its parts."""
         for i, j in within_radius(values, radius):
-            order = np.argsort(np.bitwise_count(values[i] ^ values[j]), kind="stable")
+            differ = values[i] ^ values[j]
+            own = (table[i] == table[j]) & (first_table(differ, cuts) == table[i]) & (whole[i] | (part[i] != part[j]))
+            i, j, differ = i[own], j[own], differ[own]
+            order = np.argsort(np.bitwise_count(differ), kind="stable")
             yield i[order], j[order]
 
-    def joined(values: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
-        i, j = forest_pairs(len(values), nearest_first(values), forests)
+    def joined(values: np.ndarray, ids: np.ndarray, *places: np.ndarray) -> pa.RecordBatch | None:
+        i, j = forest_pairs(len(values), nearest_first(values, *places), forests)
         return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"]) if len(i) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(0)
+            lists = batch.column(2)
             sizes = np.diff(lists.offsets.to_numpy())
             values = lists.flatten()
             fps, ids = values.field(0).to_numpy().view(np.uint64), values.field(1).to_numpy()
+            table, whole = np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes)
+            part = values.field(2).to_numpy()
             ends = np.cumsum(sizes)
             start = at = 0
             for k, end in enumerate(ends):
-                # buckets share a block until it is full; links found across buckets are links all the same
+                # buckets share a block until it is full
                 if k + 1 == len(ends) or ends[k + 1] - start > BLOCK or end - start >= BLOCK:
                     start, at = end, start
-                    if (out := joined(fps[at:end], ids[at:end])) is not None:
+                    if (out := joined(fps[at:end], ids[at:end], table[at:end], whole[at:end], part[at:end])) is not None:
                         yield out
 
     return run
@@ -159,9 +177,9 @@ def fingerprint_links(classes: DataFrame, radius: int = 2, tile: int = TILE, for
     own = F.pmod(F.hash("fp"), F.col("parts"))
     # part p of a bucket of k parts meets every part, its own included: tile (min, max)
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"))))
-    rows = rows.withColumn("own", own).select("t", "x", "y", "fp", "rep", pair.alias("pair"))
-    tiles = rows.groupBy("t", "x", "y", "pair").agg(F.collect_list(F.struct("fp", "rep")).alias("items")).where(F.size("items") > 1)
-    return tiles.select("items").mapInArrow(_links(radius, forests), "a long, b long")
+    rows = rows.withColumn("own", own).select("t", "x", "y", "fp", "rep", "own", pair.alias("pair"))
+    tiles = rows.groupBy("t", "x", "y", "pair").agg(F.collect_list(F.struct("fp", "rep", "own")).alias("items")).where(F.size("items") > 1)
+    return tiles.select("t", F.expr("pair.i = pair.j").alias("whole"), "items").mapInArrow(_links(radius, forests, cuts), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
