@@ -53,11 +53,12 @@ def forest(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def forest_pairs(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]], forests: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def forest_pairs(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]], forests: int = 1, spare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forests of linked index pairs, made of pairs that were given; of each batch, earlier pairs are preferred.
 
     Pairs that the first forest does not take are open to the next: any set of nodes that `forests` pairs connect to
-    the rest keeps that many, so some pairs may be taken away later. There are fewer than forests * n pairs.
+    the rest keeps that many, so some pairs may be taken away later. There are fewer than forests * n pairs. `spare`,
+    n flags, is set for both ends of every pair that no forest takes.
     """
     roots = [np.arange(n) for _ in range(forests)]
     left, right = [], []
@@ -79,6 +80,8 @@ def forest_pairs(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]], forests
                     root = up
             roots[f] = root
             i, j = i[open_], j[open_]
+        if spare is not None:
+            spare[i] = spare[j] = True
     empty = np.zeros(0, np.int64)
     return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
 

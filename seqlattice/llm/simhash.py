@@ -24,7 +24,7 @@ BITS = 64
 TILE = 2048
 #: Small buckets are laid side by side in one block of about this many fingerprints.
 BLOCK = 512
-#: Spanning forests of proposed links where links are verified, so that a group holds together when some of them fall.
+#: Spanning forests of proposed links that are verified first; of the other pairs, those that their groups leave apart follow.
 FORESTS = 4
 
 
@@ -125,19 +125,29 @@ def first_table(differ: np.ndarray, cuts: list[int]) -> np.ndarray:
     return number[first, equal.argmax(axis=0)]
 
 
-def _links(radius: int, forests: int, cuts: list[int]):
-    def nearest_first(values: np.ndarray, table: np.ndarray, whole: np.ndarray, part: np.ndarray):
+def _links(radius: int, forests: int | None, cuts: list[int], spares: bool, similarity: float):
+    def nearest_first(values: np.ndarray, table: np.ndarray, whole: np.ndarray, part: np.ndarray, group: np.ndarray | None, size: np.ndarray | None):
         """Each pair once: in the first table that both share, and in the tile of both of its parts."""
         for i, j in within_radius(values, radius):
+            if group is not None:
+                open_ = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+                i, j = i[open_], j[open_]
             differ = values[i] ^ values[j]
             own = (table[i] == table[j]) & (first_table(differ, cuts) == table[i]) & (whole[i] | (part[i] != part[j]))
             i, j, differ = i[own], j[own], differ[own]
             order = np.argsort(np.bitwise_count(differ), kind="stable")
             yield i[order], j[order]
 
-    def joined(values: np.ndarray, ids: np.ndarray, *places: np.ndarray) -> pa.RecordBatch | None:
-        i, j = forest_pairs(len(values), nearest_first(values, *places), forests)
-        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"]) if len(i) else None
+    def joined(values: np.ndarray, ids: np.ndarray, *places: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        found = nearest_first(values, *places)
+        if forests is not None:
+            spare = np.zeros(len(values), bool)
+            i, j = forest_pairs(len(values), found, forests, spare)
+            left = np.flatnonzero(spare) if spares else np.zeros(0, np.int64)
+            found = [(np.concatenate((i, left)), np.concatenate((j, left)))]
+        for i, j in found:
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,39 +157,42 @@ def _links(radius: int, forests: int, cuts: list[int]):
             fps, ids = values.field(0).to_numpy().view(np.uint64), values.field(1).to_numpy()
             table, whole = np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes)
             part = values.field(2).to_numpy()
+            group, size = (values.field(k).to_numpy() for k in (3, 4)) if values.type.num_fields > 3 else (None, None)
             ends = np.cumsum(sizes)
             start = at = 0
             for k, end in enumerate(ends):
                 # buckets share a block until it is full
                 if k + 1 == len(ends) or ends[k + 1] - start > BLOCK or end - start >= BLOCK:
                     start, at = end, start
-                    if (out := joined(fps[at:end], ids[at:end], table[at:end], whole[at:end], part[at:end])) is not None:
-                        yield out
+                    yield from joined(fps[at:end], ids[at:end], *(None if c is None else c[at:end] for c in (table, whole, part, group, size)))
 
     return run
 
 
-def fingerprint_links(classes: DataFrame, radius: int = 2, tile: int = TILE, forests: int = 1, *, bands: int | None = None) -> DataFrame:
+def fingerprint_links(classes: DataFrame, radius: int = 2, tile: int = TILE, forests: int | None = 1, *, bands: int | None = None, spares: bool = False, similarity: float = 0.0) -> DataFrame:
     """Links (a, b) that connect the representatives of all classes (fp, rep) within the radius: spanning forests of each tile.
 
     With `radius + 2` bands, the default, every pair within the radius meets. With fewer, pairs of up to `bands - 2`
-    differing bits all meet, and wider ones if their differing bits leave two bands free.
+    differing bits all meet, and wider ones if their differing bits leave two bands free. With `spares`, (a, a) is
+    added for each end of a pair that the forests leave out. Without forests (None) every pair is a link; classes
+    then also have a `group` and a `size`, and pairs of one group or of sizes too unlike for the similarity are none.
     """
     prepare(classes.sparkSession)
     bands = bands or radius + 2
     cuts = [round(BITS * k / bands) for k in range(bands + 1)]
     part = [F.shiftrightunsigned(F.col("fp"), cuts[k]).bitwiseAND((1 << (cuts[k + 1] - cuts[k])) - 1) for k in range(bands)]
     keys = [F.struct(F.lit(t).alias("t"), part[i].alias("x"), part[j].alias("y")) for t, (i, j) in enumerate(combinations(range(bands), 2))]
-    rows = classes.select("fp", "rep", F.explode(F.array(*keys)).alias("key")).select("key.*", "fp", "rep")
+    of = ["group", "size"] if forests is None else []
+    rows = classes.select("fp", "rep", *of, F.explode(F.array(*keys)).alias("key")).select("key.*", "fp", "rep", *of)
     large = rows.groupBy("t", "x", "y").agg(F.count("*").alias("n")).where(F.col("n") > tile)
     large = large.select("t", "x", "y", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
     rows = rows.join(large, ["t", "x", "y"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.hash("fp"), F.col("parts"))
     # part p of a bucket of k parts meets every part, its own included: tile (min, max)
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"))))
-    rows = rows.withColumn("own", own).select("t", "x", "y", "fp", "rep", "own", pair.alias("pair"))
-    tiles = rows.groupBy("t", "x", "y", "pair").agg(F.collect_list(F.struct("fp", "rep", "own")).alias("items")).where(F.size("items") > 1)
-    return tiles.select("t", F.expr("pair.i = pair.j").alias("whole"), "items").mapInArrow(_links(radius, forests, cuts), "a long, b long")
+    rows = rows.withColumn("own", own).select("t", "x", "y", "fp", "rep", "own", *of, pair.alias("pair"))
+    tiles = rows.groupBy("t", "x", "y", "pair").agg(F.collect_list(F.struct("fp", "rep", "own", *of)).alias("items")).where(F.size("items") > 1)
+    return tiles.select("t", F.expr("pair.i = pair.j").alias("whole"), "items").mapInArrow(_links(radius, forests, cuts, spares, similarity), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -249,24 +262,37 @@ def _similar(similarity: float):
 def verified_groups(docs: DataFrame, shingle: int = 2, radius: int = 10, bands: int | None = 8, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for every row of docs with a doc_id: groups of texts that are nearly equal.
 
-    Texts with the same words are one class. Fingerprints within the radius propose links, the nearest first; a link
-    stands if the texts' sets of `words`-word shingles have a Jaccard similarity of `similarity` at least. Only texts
-    that some link proposes are fetched for this. Short fingerprint shingles keep texts of similarity 0.8 near each
-    other, about 5 bits apart; of such pairs radius 10 over 8 bands proposes some 94 %.
+    Texts with the same words are one class. Fingerprints within the radius propose links; a link stands if the
+    texts' sets of `words`-word shingles have a Jaccard similarity of `similarity` at least. Forests of proposed links,
+    the nearest first, are verified at once. Of the pairs that they leave out, all whose ends are then in different
+    groups are verified too, so that each proposed pair is confirmed, refuted or inside a group. Only texts that some
+    link proposes are fetched for this. Short fingerprint shingles keep texts of similarity 0.8 near each other, about
+    5 bits apart.
     """
     prepare(docs.sparkSession)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
     prints = cut(rows.mapInArrow(_texts(shingle), "_id long, fp long, digest binary"))
     classes = cut(prints.groupBy("fp", "digest").agg(F.min("_id").alias("rep")))
-    proposed = fingerprint_links(classes, radius, forests=FORESTS, bands=bands)
-    proposed = cut(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = proposed.select(F.explode(F.array("a", "b")).alias("_rep")).distinct()
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    proposed = cut(fingerprint_links(classes, radius, forests=FORESTS, bands=bands, spares=True).select(*ordered).distinct())
+    nearest, spare = proposed.where("a <> b"), proposed.where("a = b").select(F.col("a").alias("rep"))
+    # both ends of a spare pair have links in the forests
+    ends = nearest.select(F.explode(F.array("a", "b")).alias("_rep")).distinct()
     # of repeated ids, the row with the class's words; texts are streamed past the ids, not sorted
     some = rows.join(ends.hint("shuffle_hash"), F.col("_id") == F.col("_rep"), "left_semi")
     sets = cut(some.mapInArrow(_sets(words), "_id long, s binary").groupBy("_id").agg(F.min("s").alias("s")))
-    pairs = proposed.join(sets.select(F.col("_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("_id").alias("b"), F.col("s").alias("y")), "b")
-    links = pairs.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+
+    def confirmed(links: DataFrame) -> DataFrame:
+        pairs = links.join(sets.select(F.col("_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("_id").alias("b"), F.col("s").alias("y")), "b")
+        return cut(pairs.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"))
+
+    links = confirmed(nearest)
     found = components(links).withColumnRenamed("node", "rep")
+    apart = classes.join(spare, "rep", "left_semi").join(found, "rep", "left").join(sets.select(F.col("_id").alias("rep"), F.octet_length("s").alias("size")), "rep")
+    apart = cut(apart.select("fp", "rep", F.coalesce("component", "rep").alias("group"), "size"))
+    rest = cut(fingerprint_links(apart, radius, forests=None, bands=bands, similarity=similarity).select(*ordered).where("a <> b").distinct())
+    rest = rest.join(nearest, ["a", "b"], "left_anti")
+    found = components(links.unionByName(confirmed(rest))).withColumnRenamed("node", "rep")
     named = classes.join(found, "rep", "left").select("fp", "digest", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, ["fp", "digest"]).select(F.col("_id").alias("doc_id"), "component_id")
 

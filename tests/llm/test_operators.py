@@ -430,6 +430,20 @@ def test_near_duplicates_are_verified(spark):
     assert kept.columns == df.columns and sorted(str(x.doc_id) for x in kept.select("doc_id").collect()) == sorted([*map(str, set(got.values())), "None", "None"])
 
 
+def test_near_duplicates_beyond_the_forests(spark):
+    r = random.Random(12)
+    own = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    # one shingle, repeated, decides every bit: all fingerprints are equal, all other shingles are the text's own
+    rows = [(i, " ".join(["x"] * 150 + own(30))) for i in range(230)]
+    for k in range(10):
+        words = ["x"] * 150 + own(60)
+        rows += [(1000 + k, " ".join(words)), (2000 + k, " ".join([*words[:-1], "other"]))]
+    r.shuffle(rows)
+    got = {x.doc_id: x.component_id for x in simhash.verified_groups(docs_of(spark, rows)).collect()}
+    assert len({simhash.fingerprint(t.encode(), 2) for _, t in rows}) == 1
+    assert got == {i: i - 1000 if i >= 2000 else i for i, _ in rows}
+
+
 def test_forest_pairs():
     r = np.random.default_rng(1)
     pairs = [tuple(r.integers(0, 200, (2, 60))) for _ in range(3)]
