@@ -21,8 +21,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: fingerprints within 10 bits propose links, a Jaccard similarity of 0.8 of five-word shingles confirms them."""
-    return simhash.drop_near_duplicates(docs, shingle=2, radius=10, bands=8, words=5, similarity=0.8)
+    """One document of each group: all fingerprints within 10 bits propose links, a Jaccard similarity of 0.8 of five-word shingles confirms them."""
+    return simhash.drop_near_duplicates(docs, shingle=2, radius=10, words=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

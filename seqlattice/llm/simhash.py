@@ -259,7 +259,7 @@ def _similar(similarity: float):
     return run
 
 
-def verified_groups(docs: DataFrame, shingle: int = 2, radius: int = 10, bands: int | None = 8, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def verified_groups(docs: DataFrame, shingle: int = 2, radius: int = 10, bands: int | None = None, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for every row of docs with a doc_id: groups of texts that are nearly equal.
 
     Texts with the same words are one class. Fingerprints within the radius propose links; a link stands if the
@@ -297,7 +297,7 @@ def verified_groups(docs: DataFrame, shingle: int = 2, radius: int = 10, bands:
     return prints.join(named, ["fp", "digest"]).select(F.col("_id").alias("doc_id"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 2, radius: int = 10, bands: int | None = 8, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 2, radius: int = 10, bands: int | None = None, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs that represent their group: the one with the group's smallest doc_id (one of equal rows; null ids stay).
 
     All columns of docs are kept as they are, whatever their names.

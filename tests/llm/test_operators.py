@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from seqlattice.llm import common, decontam, embedding_dedup, langid, license_scan, line_dedup, mixing, pii, quality, queries, quotes, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _id string, _text string, fp string, rep string, key string, row string, n string, kept_text string, copies string"
@@ -444,6 +445,19 @@ def test_near_duplicates_beyond_the_forests(spark):
     assert got == {i: i - 1000 if i >= 2000 else i for i, _ in rows}
 
 
+def test_every_pair_within_the_radius_is_proposed(spark):
+    for seed in (23, 32, 49):
+        r = random.Random(seed)
+        words = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        near = [*words[:25], "other", *words[26:-1], "last"]
+        prints = [simhash.fingerprint(" ".join(w).encode(), 2) for w in (words, near)]
+        differ = prints[0] ^ prints[1]
+        # 7 to 10 bits apart, over all but one of eight bands
+        assert 7 <= differ.bit_count() <= 10 and sum(not differ >> 8 * k & 255 for k in range(8)) < 2
+        docs = docs_of(spark, [(1, " ".join(words)), (2, " ".join(near))])
+        assert [x.doc_id for x in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "").collect()] == [1]
+
+
 def test_forest_pairs():
     r = np.random.default_rng(1)
     pairs = [tuple(r.integers(0, 200, (2, 60))) for _ in range(3)]
