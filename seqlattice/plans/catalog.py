@@ -509,6 +509,13 @@ def _(spark, d):
     return spark_view(spark, d, "seqs").select("doc_id", F.aggregate(idx, F.lit(0), lambda a, x: a + x).cast("long").alias("s"))
 
 
+@query("q6_base_indices_whole")
+def _(spark, d):
+    # the sum over the whole sequence; the SQL of q6_base_indices reads 200 bases
+    idx = sequence.base_indices(F.col("seq"))
+    return spark_view(spark, d, "seqs").select("doc_id", F.aggregate(idx, F.lit(0).cast("long"), lambda a, x: a + x).alias("s"))
+
+
 @query("q7_centre_slice", "SELECT vec_id, round(list_sum(embedding[29:36]::DOUBLE[]), 6) AS s FROM embeddings")
 def _(spark, d):
     c = F.transform(sequence.centre_slice(F.col("embedding"), 8), lambda v: v.cast("double"))

@@ -18,6 +18,14 @@ def test_query_without_sql_runs(name, spark):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_base_indices_of_whole_sequences(spark):
+    texts = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
+    letters = dict(zip("abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC", strict=True))
+    want = {r.doc_id: sum("ACGT".find(letters.get(c, c).upper()) % 5 for c in r.text.lower()) for r in texts}
+    got = {r.doc_id: r.s for r in QUERIES["q6_base_indices_whole"](spark, FOLDER).collect()}
+    assert got == want and max(len(r.text) for r in texts) > 200
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
