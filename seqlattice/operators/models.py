@@ -206,15 +206,33 @@ class Mlp:
         return np.maximum(x @ self.p[0] + self.p[1], 0) @ self.p[2] + self.p[3]
 
 
+def _squares(models):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                split, x, y = batch.column(0).to_pylist(), _matrix(batch.column(1)), _matrix(batch.column(2))
+                for k, m in enumerate(models.value):
+                    errors = ((m.predict(x) - y) ** 2).mean(axis=1)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k] * len(split), pa.int32()), pa.array(errors)], names=["split", "k", "e"])
+
+    return run
+
+
 def mlp_protocol(df: DataFrame, configs: Sequence[dict], rows: int = 20_000) -> DataFrame:
-    """(hidden, rate, val_loss, test_mse) of each configuration, fitted on `rows` rows of df (x, y, split, id) at most."""
-    some = df.orderBy(F.md5(F.col("id").cast("string"))).limit(rows).select("split", "x", "y").collect()
-    part = {s: [np.array([getattr(r, c) for r in some if r.split == s], np.float64) for c in ("x", "y")] for s in ("train", "val", "test")}
-    out = []
-    for c in configs:
-        m = Mlp(**c).fit(*part["train"], *part["val"])
-        out.append((m.hidden, m.rate, m.loss, float(((m.predict(part["test"][0]) - part["test"][1]) ** 2).mean())))
-    return df.sparkSession.createDataFrame(out, "hidden int, rate double, val_loss double, test_mse double")
+    """(hidden, rate, decay, val_loss, test_mse) of each configuration of df (x, y, split, id).
+
+    It is fitted on `rows` train rows at most and stopped by as many val rows; both losses are those of all val and test rows.
+    """
+    part = {}
+    for s in ("train", "val"):
+        some = df.where(F.col("split") == s).orderBy(F.md5(F.col("id").cast("string"))).limit(rows).select("x", "y").collect()
+        part[s] = [np.array([r[c] for r in some], np.float64) for c in ("x", "y")]
+    models = [Mlp(**c).fit(*part["train"], *part["val"]) for c in configs]
+    held = df.where("split in ('val', 'test')").select("split", "x", "y")
+    losses = held.mapInArrow(_squares(df.sparkSession.sparkContext.broadcast(models)), "split string, k int, e double").groupBy("split", "k").agg(F.avg("e").alias("e"))
+    loss = {(r.split, r.k): r.e for r in losses.collect()}
+    out = [(m.hidden, m.rate, m.decay, loss.get(("val", k)), loss.get(("test", k))) for k, m in enumerate(models)]
+    return df.sparkSession.createDataFrame(out, "hidden int, rate double, decay double, val_loss double, test_mse double")
 
 
 def encode(df: DataFrame, id_col: str, seq_col: str, encoder: Callable[[list[str]], np.ndarray], width: int) -> DataFrame:

@@ -249,3 +249,15 @@ def test_bundle(spark):
 
     tables = reports.bundle(spark_view(spark, FOLDER, "runs"), names.feature_sources(spark))
     assert {len(t.columns) > 0 for t in tables.values()} == {True} and tables["main_family5"].first().encoder == "kmer"
+
+
+def test_mlp_is_scored_on_all_rows(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(400, 3))
+    split = ["train", "val", "test", "test"]
+    rows = [(i, split[i % 4], v.tolist(), [float(v @ [1, 2, 3]) + (i == 398) * 1000]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, split string, x array<double>, y array<double>")
+    for bound in (30, 1000):
+        # one test row far off shows in the mean over all 200 test rows
+        got = models.mlp_protocol(df, [{"hidden": 8, "epochs": 2}], bound).first()
+        assert 4900 < got.test_mse < 5200 and got.val_loss < 100
