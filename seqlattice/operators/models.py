@@ -18,6 +18,7 @@ from seqlattice.operators import metrics
 # Fixed values.
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 CS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
+MLP_CONFIGS = tuple({"hidden": h, "decay": a} for h in (256, 512, 1024) for a in (1e-4, 1e-3, 1e-2))
 SLOTS = 16
 
 

@@ -654,12 +654,12 @@ def _(spark, d):
 
 @query("m3_logistic_protocol")
 def _(spark, d):
-    return models.logistic_protocol(_xy(spark, d).withColumn("label", (F.col("label") % 2).cast("int")), (0.1, 10.0))
+    return models.logistic_protocol(_xy(spark, d).withColumn("label", (F.col("label") % 2).cast("int")))
 
 
 @query("m6_mlp_protocol")
 def _(spark, d):
-    return models.mlp_protocol(_xy(spark, d).withColumn("id", F.col("vec_id")), [{"hidden": 16, "epochs": 20}, {"hidden": 32, "epochs": 20}])
+    return models.mlp_protocol(_xy(spark, d).withColumn("id", F.col("vec_id")), models.MLP_CONFIGS)
 
 
 @query("m8_shuffled_control")
@@ -678,12 +678,24 @@ def _(spark, d):
     return out.select("metric", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
 
 
+@query("m9_bootstrap_classification_whole")
+def _(spark, d):
+    # 1000 replicates; the SQL of m9_bootstrap_classification draws 20
+    return models.bootstrap_classification(spark_view(spark, d, "preds"), "vec_id", "t", "p")
+
+
 @query("m10_bootstrap_regression", f"WITH {cte('preds')}, {_DRAWS.format(s=repr(''), reps=10)}, x AS (SELECT rep, i, w::DOUBLE AS w, embedding[i]::DOUBLE AS y, embedding[i]::DOUBLE - embedding[i + 8]::DOUBLE AS e FROM bw JOIN embeddings USING (vec_id), range(1, 9) t(i)), r AS (SELECT rep, i, 1 - sum(w * e * e) / greatest(sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w), 1e-12) AS r2 FROM x GROUP BY rep, i), v AS (SELECT rep, avg(r2) AS v FROM r GROUP BY rep) SELECT 'r2_macro' AS metric, round(quantile_cont(v, 0.025), 8) AS lo, round(quantile_cont(v, 0.975), 8) AS hi FROM v")
 def _(spark, d):
     out = models.bootstrap_regression(_halves(spark, d), "vec_id", "y", "p", 10)
     return out.select("metric", F.round("lo", 8).alias("lo"), F.round("hi", 8).alias("hi"))
 
 
+@query("m10_bootstrap_regression_whole")
+def _(spark, d):
+    # 1000 replicates; the SQL of m10_bootstrap_regression draws 10
+    return models.bootstrap_regression(_halves(spark, d), "vec_id", "y", "p")
+
+
 def _letters(texts: list[str]) -> np.ndarray:
     """A stand-in for a pretrained encoder: shares of the four bases."""
     return np.array([[(t or "").count(b) / max(1, len(t or "")) for b in sequence.BASES] for t in texts]).reshape(len(texts), 4)

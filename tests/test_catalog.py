@@ -26,6 +26,19 @@ def test_base_indices_of_whole_sequences(spark):
     assert got == want and max(len(r.text) for r in texts) > 200
 
 
+def test_registered_sweeps_and_bootstraps_are_whole(spark, monkeypatch):
+    from seqlattice.operators import models
+
+    seen = {}
+    for name, at in (("logistic_protocol", 1), ("mlp_protocol", 1), ("bootstrap_classification", 4), ("bootstrap_regression", 4)):
+        monkeypatch.setattr(models, name, lambda *a, name=name, at=at, **k: seen.__setitem__(name, (a[at:], k)))
+    for name in ("m3_logistic_protocol", "m6_mlp_protocol", "m9_bootstrap_classification_whole", "m10_bootstrap_regression_whole"):
+        QUERIES[name](spark, FOLDER)
+    assert seen.pop("mlp_protocol") == ((models.MLP_CONFIGS,), {}) and len({(c["hidden"], c["decay"]) for c in models.MLP_CONFIGS}) == 9
+    # the defaults: six values of C, 1000 replicates
+    assert len(models.CS) == 6 and seen == dict.fromkeys(seen, ((), {})) and len(seen) == 3
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
