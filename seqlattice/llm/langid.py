@@ -38,8 +38,8 @@ def letters(text: str) -> bytes:
 class Languages:
     """Dictionaries by language, ready to classify; compressors are built on first use in each worker.
 
-    Short texts may come out as uncompressed under every dictionary. If the two smallest sums are nearly equal, the
-    text is compressed behind one context of all languages, and what it adds to the context is compared.
+    Short texts may come out as uncompressed under every dictionary. If the two smallest sums are nearly equal, each
+    block is compressed behind one context of all languages, and what it adds to the context is compared.
     """
 
     def __init__(self, dictionaries: dict[str, bytes], context: bytes = b""):
@@ -80,7 +80,8 @@ class Languages:
         sizes = self.sizes(words)
         first, second = sorted(sizes)[:2]
         if second - first < 3:
-            added = [len(c.compress(self.context + b" " + words[:BLOCK])) - base for c, base in zip(self._build(), self._base, strict=True)]
+            blocks = [words[k : k + BLOCK] for k in range(0, len(words), BLOCK)]
+            added = [sum(len(c.compress(self.context + b" " + b)) - base for b in blocks) for c, base in zip(self._build(), self._base, strict=True)]
             sizes = [s + a for s, a in zip(sizes, added, strict=True)]
             first, second = sorted(sizes)[:2]
         score = 1 / sum(math.exp(-(s - first) / (0.01 * abs(first) + 2)) for s in sizes)
@@ -88,13 +89,14 @@ class Languages:
 
 
 def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> Languages:
-    """Dictionaries from a bounded sample: about `texts` texts of each language (8 * texts at most), chosen by a hash of the text.
+    """Dictionaries from a bounded sample: about `texts` distinct texts of each language (8 * texts at most), chosen by a hash of the text.
 
     Only rows with text and language count. The driver receives at most 8 * texts * SAMPLE_BYTES bytes a language.
     """
     prepare(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("l is not null and length(t) > 0")
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    # copies of a text are chosen together, so the share is one of distinct texts
+    counts = {r.l: r.n for r in rows.select("l", F.xxhash64("t").alias("k")).distinct().groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
@@ -107,6 +109,8 @@ def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "
     of: dict[str, list] = {}
     for r in some.orderBy("k", "t").limit(8 * texts * len(counts)).collect():
         of.setdefault(r.l, []).append(r.t.encode()[:SAMPLE_BYTES])
+    if lost := sorted(set(counts) - set(of)):
+        raise ValueError(f"no text chosen of {', '.join(lost)}")
     # a few hundred bytes of the last text are context, the rest is the dictionary
     context = b" ".join(letters(parts[-1].decode("utf-8", "ignore"))[:CONTEXT] for _, parts in sorted(of.items()))
     joined = {lang: b" ".join(letters(p.decode("utf-8", "ignore")) for p in (parts[:-1] or parts)) for lang, parts in of.items()}

@@ -266,6 +266,26 @@ def test_language_identification(spark):
     assert {x.lang_pred for x in langid.identify(docs, langid.Languages({})).collect()} == {"und"}
 
 
+def test_copies_do_not_crowd_out_a_language(spark):
+    rows = [(i, f"same text of bb {'lo' * 9}", "bb") for i in range(3000)] + [(5000 + i, f"bb own text {i} ver lich", "bb") for i in range(20)]
+    rows += [(9000 + i, f"aa ka to mi {i} re su", "aa") for i in range(10)]
+    learned = langid.fit_languages(docs_of(spark, rows), texts=20)
+    assert sorted(learned.dictionaries) == ["aa", "bb"] and learned.dictionaries["bb"].count(b"own text") >= 10
+
+
+def test_ties_are_broken_by_all_blocks():
+    class Fixed:
+        def __init__(self, likes):
+            self.likes = likes
+
+        def compress(self, b):
+            return bytes(10 - 5 * (self.likes and b.startswith(b"context") and b"zzz" in b))
+
+    learned = langid.Languages({"aa": b"", "bb": b""}, b"context")
+    learned._compressors, learned._base = [Fixed(False), Fixed(True)], [10, 10]
+    assert learned.classify(b"a" * langid.BLOCK + b"zzz")[0] == "bb"
+
+
 # pseudonyms
 
 
