@@ -343,6 +343,12 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(docs, "other").where("doc_id = 1").first().text != new and pii.pseudonymise(docs_of(spark, []), "k").count() == 0
 
 
+def test_values_without_digits_are_found(spark):
+    rows = [(1, "password=deadbeef"), (2, "key AKIA" + "QWERTYUIOPASDFGH" + " x"), (3, "of " + "abcdefab" * 4)]
+    got = {x.doc_id: x for x in pii.pseudonymise(docs_of(spark, rows), "k").collect()}
+    assert all(got[i].n_found == 1 and got[i].text != t for i, t in rows)
+
+
 def iban_ok(s):
     s = s.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
