@@ -1,10 +1,12 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-Blocks are lines, token sets in the templates' vocabulary ordered by global document frequency, rarest first. A block
-B meets template T if |B n T| >= c = ceil(threshold |T|). Then the first common token stands among the first
-|T| - c + 1 tokens of T and the first |B| - c + 1 of B (prefix filter), B has c tokens at least (length filter), and
-c - 1 tokens are left behind the common one on either side (positional filter). Only what passes is verified. The
-templates are a fixed table and broadcast.
+Blocks are overlapping windows over a document's words, twice as long as the template and half a window apart, so that
+every stretch as long as the template lies in one of them, wherever lines end. A block's tokens are its distinct words
+among the templates', ordered by document frequency over all documents, rarest first. Block B meets template T if
+|B n T| >= c = ceil(threshold |T|) and B holds every number of T (a version decides the license). Then the first common
+token stands among the first |T| - c + 1 tokens of T and the first |B| - c + 1 of B (prefix filter), B has c tokens at
+least (length filter; above, it is bounded by the window), and c - 1 tokens are left behind the common one on either
+side (positional filter). Only what passes is verified. The templates are a fixed table and broadcast.
 """
 
 from __future__ import annotations
@@ -20,23 +22,25 @@ from seqlattice.llm.common import prepare
 
 #: Words that must follow each other, and the label they give.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Token sets of notices, and the label each gives.
+#: Wording of notices, and the label each gives. Of five different words at least: fewer meet in prose by chance.
 TEMPLATES = {
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": "mit",
     "licensed under the apache license version 2 0": "apache-2",
     "gnu general public license version 3": "gpl-3",
     "gnu general public license version 2": "gpl-2",
+    "gnu general public license as published by the free software foundation either version 3": "gpl-3",
+    "gnu general public license as published by the free software foundation either version 2": "gpl-2",
     "gnu lesser general public license": "lgpl",
     "gnu affero general public license": "agpl",
     "licensed under cc by nc 4 0": "cc-by-nc",
     "licensed under cc by sa 4 0": "cc-by-sa",
-    "creative commons attribution noncommercial": "cc-by-nc",
-    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial 4 0": "cc-by-nc",
+    "creative commons attribution sharealike 4 0": "cc-by-sa",
     "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
     "this source code form is subject to the terms of the mozilla public license": "mpl",
     "this is free and unencumbered software released into the public domain": "unlicense",
-    "all rights reserved": "proprietary",
+    "copyright c all rights reserved": "proprietary",
 }
 THRESHOLD = 0.9
 #: Not in words: ASCII that is neither digit nor letter. Words of lower-cased text are the stretches between.
@@ -80,22 +84,35 @@ def block_matches(rows: DataFrame, order: list[str], templates: Mapping[str, str
     """(_id, _print, label, containment) of every block of rows (_id, _print, _text) that meets a template."""
     spark = rows.sparkSession
     rank = {w: k for k, w in enumerate(order)}
-    sets = [(t, label, sorted(set(t.split()), key=rank.get)) for t, label in templates.items()]
-    need = {t: math.ceil(threshold * len(s) - 1e-9) for t, _, s in sets}
-    prefixes = [(s[k], t, label, k, len(s), need[t], s) for t, label, s in sets for k in range(len(s) - need[t] + 1)]
-    table = F.broadcast(spark.createDataFrame(prefixes, "token string, template string, label string, tpos int, tsize int, need int, tset array<string>"))
-    # lines that hold a prefix token as a word
-    some = f"(?i)(?<!{WORD})(?:{'|'.join(sorted({p[0] for p in prefixes}))})(?!{WORD})"
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(some))
-    blocks = rows.where(F.col("_text").rlike(some)).select("_id", "_print", F.explode(lines).alias("line"))
-    block = blocks.select("_id", "_print", F.array_intersect(F.array(*[F.lit(w) for w in order]), tokens(F.col("line"))).alias("b"))
-    fewest = min(need.values())
-    block = block.withColumn("n", F.size("b")).where(F.col("n") >= fewest)
-    ahead = block.select("_id", "_print", "b", "n", F.posexplode(F.slice("b", F.lit(1), F.col("n") - fewest + 1)).alias("bpos", "token"))
-    left = F.least(F.col("tsize") - F.col("tpos"), F.col("n") - F.col("bpos"))
-    met = ahead.join(table, "token").where((F.col("n") >= F.col("need")) & (left >= F.col("need")))
+    sets = [(label, len(t.split()), sorted(set(t.split()), key=rank.get)) for t, label in templates.items()]
+    prefixes = []
+    for label, length, own in sets:
+        need = math.ceil(threshold * len(own) - 1e-9)
+        prefixes += [(own[k], label, length, k, len(own), need, own, [w for w in own if w.isdigit()]) for k in range(len(own) - need + 1)]
+    table = F.broadcast(spark.createDataFrame(prefixes, "token string, label string, length int, tpos int, tsize int, need int, tset array<string>, numbers array<string>"))
+    tokens_ahead = sorted({x[0] for x in prefixes})
+    some = f"(?i)(?<!{WORD})(?:{'|'.join(tokens_ahead)})(?!{WORD})"
+    reach = 2 * max(length for _, length, _ in sets)
+    # each place of a prefix token, with the words around it that any block with it may hold: bounded, however long the text
+    ahead = F.array(*[F.lit(w) for w in tokens_ahead])
+
+    def near(w: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(ahead, F.get(w, i)))
+        around = lambda i: F.slice(w, F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach))
+        return F.transform(at, lambda i: F.struct(F.get(w, i).alias("token"), i.alias("at"), F.least(i, F.lit(reach)).alias("before"), around(i).alias("around")))
+
+    places = F.element_at(F.transform(F.array(tokens(F.col("_text"))), near), 1)
+    hits = rows.where(F.col("_text").rlike(some)).select("_id", "_print", F.explode(places).alias("x")).select("_id", "_print", "x.*")
+    met = hits.join(table, "token")
+    # the two blocks of the template's length that hold the place
+    last = F.floor(F.col("at") / F.col("length")).cast("int") * F.col("length")
+    met = met.withColumn("from", F.explode(F.filter(F.array(last - F.col("length"), last), lambda x: x >= 0)))
+    block = F.slice("around", F.col("from") - F.col("at") + F.col("before") + 1, F.col("length") * 2)
+    met = met.select("_id", "_print", "label", "token", "tpos", "tsize", "need", "tset", "numbers", F.array_intersect(F.array(*[F.lit(w) for w in order]), block).alias("b"))
+    behind = F.least(F.col("tsize") - F.col("tpos"), F.size("b") - F.array_position("b", F.col("token")) + 1)
+    met = met.where((F.size("b") >= F.col("need")) & (behind >= F.col("need")))
     overlap = F.size(F.array_intersect("b", "tset"))
-    met = met.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need"))
+    met = met.withColumn("overlap", overlap).where((F.col("overlap") >= F.col("need")) & (F.size(F.array_except("numbers", "b")) == 0))
     return met.select("_id", "_print", "label", (F.col("overlap") / F.col("tsize")).alias("containment"))
 
 
@@ -105,8 +122,8 @@ def scan(
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row of docs.
 
     n_base counts the places where a phrase's words stand consecutively, first_word and last_word are the smallest and
-    largest of these (words from 0; null without any), base_labels are their labels; labels has the templates' labels
-    too. score is 1 with a base phrase, else the greatest containment that meets the threshold, else 0. A null text
+    largest of these (words from 0; null without any), base_labels are their labels; labels has the labels of
+    the templates that some block meets too. score is 1 with a base phrase, else the greatest containment that meets the threshold, else 0. A null text
     is empty. Null ids and repeated rows pass through. Other columns are ignored.
     """
     prepare(docs.sparkSession)

@@ -86,20 +86,22 @@ _UPPER, _LOWER = license_scan.UPPER, license_scan.LOWER
 
 
 def _license_sql() -> str:
-    """Every line against every template, every word against every phrase."""
+    """Every window against every template, every word against every phrase."""
     phrases = ", ".join(f"([{', '.join(repr(w) for w in p.split())}], '{label}')" for p, label in license_scan.PHRASES.items())
-    templates = ", ".join(f"([{', '.join(repr(w) for w in sorted(set(t.split())))}], '{label}')" for t, label in license_scan.TEMPLATES.items())
+    listed = lambda ws: f"[{', '.join(repr(w) for w in ws)}]::VARCHAR[]"
+    templates = ", ".join(f"({listed(sorted(set(t.split())))}, {listed(sorted({w for w in t.split() if w.isdigit()}))}, {len(t.split())}, '{label}')" for t, label in license_scan.TEMPLATES.items())
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return rf"""
-WITH phrase(p, label) AS (VALUES {phrases}), template(t, label) AS (VALUES {templates}),
+WITH phrase(p, label) AS (VALUES {phrases}), template(t, numbers, n, label) AS (VALUES {templates}),
 d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS x FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(x, '{word}') AS w FROM d),
 place AS (SELECT doc_id, label, unnest(list_filter(range(len(w) - len(p) + 1), lambda i: w[i + 1 : i + len(p)] = p)) AS k
        FROM w, phrase WHERE len(w) >= len(p) AND list_has_all(w, p)),
 base AS (SELECT doc_id, count(*) AS n, min(k) AS lo, max(k) AS hi, list(DISTINCT label) AS labels FROM place GROUP BY doc_id),
-line AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(x, chr(10))), '{word}')) AS b FROM d),
-met AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS c FROM line, template
-        WHERE len(list_intersect(b, t)) >= ceil({license_scan.THRESHOLD} * len(t) - 1e-9)),
+block AS (SELECT doc_id, label, t, numbers, unnest(list_transform(range(0, len(w), n), lambda k: list_distinct(w[k + 1 : k + 2 * n]))) AS b
+          FROM w, template WHERE len(list_intersect(w, t)) >= ceil({license_scan.THRESHOLD} * len(t) - 1e-9)),
+met AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS c FROM block
+        WHERE len(list_intersect(b, t)) >= ceil({license_scan.THRESHOLD} * len(t) - 1e-9) AND list_has_all(b, numbers)),
 found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM met GROUP BY doc_id)
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
