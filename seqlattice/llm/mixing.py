@@ -17,8 +17,9 @@ from seqlattice.llm.common import cut, prepare
 
 #: Parts of one copy.
 UNIT = 1 << 24
-#: Groups that the documents of one source and size class are dealt to, so that no task sorts a whole source.
-SALTS = 64
+#: Groups that the documents of one source and size class are dealt to, so that no task sorts a whole source. A source
+#: has about 130 size classes at most, so the window over its groups holds 130 * SALTS rows at most.
+SALTS = 1024
 
 
 def words_in(text: Column) -> Column:
@@ -47,29 +48,27 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), cap:
     return rows.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix_counts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, seed: int = 7, salts: int = SALTS
-) -> DataFrame:
-    """(id, size, source_size, target, copies, taken) for every row of docs.
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, key: Column) -> DataFrame:
+    text, own = F.col(text_col), F.col(id_col)
+    return docs.select(own.alias("_id"), F.col(source_col).alias("source"), words_in(text).alias("size"), F.when(own.isNull(), F.xxhash64(text)).alias("_tie"), key.alias("_key"))
 
-    Size is the number of words, 0 for null and empty texts; such documents get copies that take nothing. Null ids
-    are ordered as the text "null". Repeated rows are further documents. Sources without words have target 0. Empty
-    input gives an empty result. Other columns are ignored.
-    """
-    prepare(docs.sparkSession)
-    rows = cut(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")))
+
+def _counted(rows: DataFrame, weights: Sequence[float], cap: float, seed: int, salts: int) -> DataFrame:
+    """rows (_id, source, size, _tie, _key) with source_size, target and copies; _tie orders what has no id, _key the rest."""
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("_id").cast("string"), F.lit("null"))))
     bits = F.bin("size")
     rows = rows.withColumn("_mark", mark).withColumn("_class", F.concat(F.lpad(F.length(bits), 2, "0"), F.substring(bits, 2, 2)))
-    rows = rows.withColumn("_salt", F.pmod(F.conv(F.substring("_mark", 1, 8), 16, 10).cast("long"), F.lit(salts)))
+    # null ids have one mark; their texts spread them
+    spread = F.when(F.col("_id").isNull(), F.pmod(F.col("_tie"), F.lit(salts))).otherwise(F.pmod(F.conv(F.substring("_mark", 1, 8), 16, 10).cast("long"), F.lit(salts)))
+    rows = rows.withColumn("_salt", spread)
     # places within (source, class, salt), then what stands before each of these groups
     group = ["source", "_class", "_salt"]
     before = rows.groupBy(*group).agg(F.count("*").alias("_n"))
     ahead = Window.partitionBy("source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     before = before.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
     before = before.join(targets.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
-    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*group).orderBy("size", "_mark", "_id")))
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*group).orderBy("size", "_mark", "_id", "_tie", "_key")))
     same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a._class") == F.col("b._class")) & (F.col("a._salt") == F.col("b._salt"))
     joined = placed.alias("a").join(before.alias("b"), same).select("a.*", "b._before", "b.source_size", "b.target")
     each = F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)) * UNIT).cast("long")
@@ -77,23 +76,48 @@ def mix_counts(
     offset = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("offset"), F.coalesce("source", F.lit("null")))), 1, 8), 16, 10).cast("long"), F.lit(UNIT))
     end = F.col("_before") + F.col("_place")
     crossed = lambda n: F.floor((n * each + offset) / UNIT).cast("long")
-    copies = crossed(end) - crossed(end - 1)
-    return joined.select(
-        F.col("_id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    return joined.withColumn("copies", crossed(end) - crossed(end - 1))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, seed: int = 7) -> DataFrame:
-    """The mixed corpus: each row of docs (all its columns) as often as its copies; equal rows share their copies.
+def mix_counts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, seed: int = 7, salts: int = SALTS
+) -> DataFrame:
+    """(id, size, source_size, target, copies, taken) for every row of docs.
+
+    Size is the number of words, 0 for null and empty texts; such documents get copies that take nothing. Null ids
+    are ordered as the text "null", then by text. Repeated rows are further documents. Sources without words have
+    target 0. Empty input gives an empty result. Other columns are ignored.
+    """
+    prepare(docs.sparkSession)
+    rows = cut(_sized(docs, id_col, text_col, source_col, F.lit("")))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return _counted(rows, weights, cap, seed, salts).select(F.col("_id").alias(id_col), "size", "source_size", "target", "copies", taken)
 
-    Rows of one doc_id must agree in their source, as decisions are by document. Rows with a null doc_id follow the
-    same rules; their decision is found by the null.
+
+def row_key(docs: DataFrame) -> Column:
+    """128 bits of all columns of a row: rows with one key are equal."""
+    own = []
+    for f in docs.schema.fields:
+        c = F.col(f"`{f.name}`")
+        # hashes pass over nulls, and do not take maps
+        own += [c.isNull(), F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c]
+    return F.concat(F.hex(F.xxhash64(*own)), F.lit("|"), F.hex(F.xxhash64(F.lit(1), *own)))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, seed: int = 7, salts: int = SALTS) -> DataFrame:
+    """The mixed corpus: each row of docs, with all its columns, as often as its copies.
+
+    Decisions are of rows, not of ids, and are those of mix_counts: null and repeated ids, null and empty texts and
+    null sources follow the same rules. Rows equal in every column share their copies. Texts are shuffled once, by
+    the row's key, and never sorted or gathered.
     """
-    taken = mix_counts(docs, weights=weights, cap=cap, seed=seed)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    # repeated ids: each row gets its own number of copies, in turn; join and turn use one partitioning
-    by_id = taken.where("copies > 0").groupBy(key.alias("key")).agg(F.collect_list("copies").alias("copies"))
-    turn = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    rows = docs.select(key.alias("key"), F.struct("*").alias("row")).join(by_id, "key")
-    own = rows.withColumn("n", F.try_element_at("copies", turn)).where("n > 0")
-    return own.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
+    prepare(docs.sparkSession)
+    rows = cut(_sized(docs, "doc_id", "text", "source", row_key(docs)))
+    taken = _counted(rows, weights, cap, seed, salts).groupBy("_key").agg(F.sum("copies").alias("n"), F.count("*").alias("m"))
+    taken = cut(taken.where("n > 0"))
+    # copies are known by now; the texts stream past them
+    joined = docs.select(row_key(docs).alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(taken.hint("shuffle_hash"), "_key")
+    once = joined.where("m = 1").select("row", "n")
+    # of equal rows one stands for all, chosen on the map side
+    equal = joined.where("m > 1").groupBy("_key").agg(F.first("row").alias("row"), F.first("n").alias("n")).select("row", "n")
+    return once.unionByName(equal).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")

@@ -227,7 +227,25 @@ def test_mixing(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(x.copies for x in got)
-    assert mixing.mix_counts(docs_of(spark, [])).count() == 0 and mixing.mix(docs_of(spark, ODD)).columns == docs.columns
+    assert mixing.mix_counts(docs_of(spark, [])).count() == 0 and mixing.mix(docs_of(spark, [])).count() == 0
+
+
+def test_the_mix_is_what_was_taken(spark):
+    r = random.Random(4)
+    rows = [(None if k % 3 == 0 else k % 7, " ".join(["w"] * r.randrange(1, 9)), None, r.choice(["a", "b", None])) for k in range(400)]
+    rows += [(None, "a", None, "c"), (None, "a b", None, "c"), (None, "a b c", None, "c")] + [(50, "same row", None, "a")] * 40 + [(i, t, None, "a") for i, t in ODD if t != LONG]
+    docs = docs_of(spark, rows).withColumn("more", F.create_map(F.lit("k"), F.col("doc_id")))
+    taken = {(x.doc_id, x.size): 0 for x in mixing.mix_counts(docs).collect()}
+    for x in mixing.mix_counts(docs).collect():
+        taken[x.doc_id, x.size] += x.taken
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.dtypes == docs.dtypes
+    out = dict.fromkeys(taken, 0)
+    for x in mixed.collect():
+        out[x.doc_id, len((x.text or "").split())] += len((x.text or "").split())
+    assert out == taken and sum(out.values()) > 0
+    again = sorted(str(x) for x in mixing.mix(docs.repartition(5)).collect())
+    assert again == sorted(str(x) for x in mixed.collect())
 
 
 # lines
