@@ -17,15 +17,16 @@ from pyspark.sql import functions as F
 
 from seqlattice.llm.common import binary_column, prepare
 
-#: The fitted sample: about this many texts of each language, of each the first bytes; and bytes of a dictionary.
-SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_BYTES = 200, 2000, 112_640
+#: The fitted sample: about this many texts of each language, of each one stretch of so many characters from anywhere
+#: in it, and about so many texts of all languages; and bytes of a dictionary.
+SAMPLE_TEXTS, SAMPLE_CHARS, ALL_TEXTS, DICTIONARY_BYTES = 200, 2000, 10_000, 112_640
 #: Bytes compressed together.
 BLOCK = 2048
 #: Bytes of each language's sample in the context that breaks ties.
 CONTEXT = 300
 #: Share of the second smallest size by which the smallest must be smaller, or the text is rejected.
 MARGIN = 0.01
-#: Languages at most; each is one more compression of every text.
+#: Languages that are learned, at most, those with the most texts; each is one more compression of every text.
 MAX_LANGUAGES = 256
 _OTHERS = re.compile(r"[\W\d_]+")
 
@@ -88,27 +89,30 @@ class Languages:
         return names[sizes.index(first)], score, second - first < margin * max(second, 1)
 
 
-def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS) -> Languages:
-    """Dictionaries from a bounded sample: about `texts` distinct texts of each language (8 * texts at most), chosen by a hash of the text.
+def fit_languages(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = SAMPLE_TEXTS, languages: int = MAX_LANGUAGES) -> Languages:
+    """Dictionaries from a bounded sample: about `texts` distinct texts of each language, chosen by a hash of the text.
 
-    Only rows with text and language count. The driver receives at most 8 * texts * SAMPLE_BYTES bytes a language.
+    Only rows with text and language count; of more than `languages` languages, those with the most distinct texts
+    are learned (ties by name). With very many languages there are fewer texts of each, about ALL_TEXTS together. Of
+    each text, one stretch is taken, at a place given by the hash. The driver receives 2 * ALL_TEXTS stretches at most.
     """
     prepare(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).where("l is not null and length(t) > 0")
     # copies of a text are chosen together, so the share is one of distinct texts
-    counts = {r.l: r.n for r in rows.select("l", F.xxhash64("t").alias("k")).distinct().groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    distinct = rows.select("l", F.xxhash64("t").alias("k")).distinct().groupBy("l").agg(F.count("*").alias("n"))
+    counts = {r.l: r.n for r in distinct.orderBy(F.desc("n"), "l").limit(languages).collect()}
     if not counts:
         return Languages({})
+    each = max(30, min(texts, ALL_TEXTS // len(counts)))  # a draw of none is as good as impossible
     place = F.pmod(F.xxhash64("t"), F.lit(1 << 32))
     chosen: Column = F.lit(False)
     for lang, n in counts.items():
-        chosen = chosen | ((F.col("l") == lang) & (place < int(min(1.0, texts / n) * (1 << 32))))
-    some = rows.where(chosen).select("l", F.xxhash64("t").alias("k"), F.substring("t", 1, SAMPLE_BYTES).alias("t")).distinct()
+        chosen = chosen | ((F.col("l") == lang) & (place < int(min(1.0, each / n) * (1 << 32))))
+    start = F.pmod(F.xxhash64("t", F.lit(1)), F.greatest(F.length("t") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    some = rows.where(chosen).select("l", F.xxhash64("t").alias("k"), F.substring("t", start, F.lit(SAMPLE_CHARS)).alias("t")).distinct()
     of: dict[str, list] = {}
-    for r in some.orderBy("k", "t").limit(8 * texts * len(counts)).collect():
-        of.setdefault(r.l, []).append(r.t.encode()[:SAMPLE_BYTES])
+    for r in some.orderBy("k", "l", "t").limit(2 * max(ALL_TEXTS, 30 * len(counts))).collect():
+        of.setdefault(r.l, []).append(r.t.encode())
     if lost := sorted(set(counts) - set(of)):
         raise ValueError(f"no text chosen of {', '.join(lost)}")
     # a few hundred bytes of the last text are context, the rest is the dictionary
@@ -154,7 +158,11 @@ def _accepted(model, margin: float, text: str):
 
 
 def accepted(docs: DataFrame, languages: Languages, margin: float = MARGIN) -> DataFrame:
-    """The rows of docs, unchanged, whose language is clear; one scan, no shuffle."""
+    """The rows of docs, unchanged, whose language is clear; one scan, no shuffle.
+
+    Null texts and texts without a letter go, as do ties. Null ids and repeated rows are treated by their text alone.
+    All columns stay, whatever their names. Without any learned language everything goes.
+    """
     prepare(docs.sparkSession)
     return docs.mapInArrow(_accepted(docs.sparkSession.sparkContext.broadcast(languages), margin, "text"), docs.schema)
 
