@@ -48,13 +48,18 @@ def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held = langid.held_out(F.col("doc_id"))
     languages = langid.fit_languages(docs.where(~held))
-    return langid.identify(docs, languages).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, languages).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_found")
 
 
+def quoted_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quote linking over the whole table with quotes added, as the table itself has few."""
+    return quotes.link_quotes(spark.sql(_QUOTED, conversations=_table(spark, sf_dir, "conversations")))
+
+
 def quote_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(_table(spark, sf_dir, "conversations"))
 
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quote_linking": quote_query,
         "op9_simhash_dedup": simhash_query,
         "op10_decontamination": decontamination_query,
+        "quotes_added_to_conversations": quoted_query,
     }
 
 
@@ -149,16 +155,24 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
   sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id"""
 
+#: Conversations with quotes from the table itself: of the turn before, of another conversation, nested, short, and one hot passage.
+_QUOTED = r"""SELECT a.conv_id, a.turn, a.role,
+  CASE WHEN a.turn % 3 = 1 AND b.text IS NOT NULL THEN '> ' || split_part(b.text, chr(10), 1) || chr(10) || CASE WHEN a.conv_id % 2 = 0 THEN '>> ' || split_part(c.text, chr(10), 1) || chr(10) ELSE '' END || 're: ' || a.text
+       WHEN a.turn % 3 = 2 AND a.conv_id % 4 = 0 AND c.text IS NOT NULL THEN a.text || chr(10) || ' > ' || upper(split_part(c.text, chr(10), 1)) || chr(10) || '> ok'
+       WHEN a.turn % 3 = 2 THEN '> this passage is quoted by very many' || chr(10) || '>' || chr(10) || a.text
+       WHEN a.turn = 0 AND a.conv_id % 10 = 3 THEN 'this passage is quoted by very many' || chr(10) || 'ok' || chr(10) || a.text ELSE a.text END AS text
+FROM {conversations} a LEFT JOIN {conversations} b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 LEFT JOIN {conversations} c ON a.conv_id = c.conv_id + 1 AND c.turn = 0"""
+
 _QUOTE_SQL = rf"""
-WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, row_number() OVER () AS r FROM conversations),
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, row_number() OVER () AS r FROM {{conversations}}),
 l AS (SELECT r, conv_id AS c, turn AS t, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM m),
 v AS (SELECT *, length(regexp_replace(regexp_extract(line, '{quotes.MARKS}'), '[^>]', '', 'g')) AS level,
       translate(trim(regexp_replace(regexp_replace(line, '{quotes.MARKS}', ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '{_UPPER}', '{_LOWER}') AS p FROM l),
 own AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (level = 0), '') AS text, count(*) FILTER (level > 0) AS n_quoted, max(level) AS max_level FROM v GROUP BY r),
-long AS (SELECT * FROM v WHERE length(p) >= {quotes.LEAST_CHARS} AND c IS NOT NULL AND t IS NOT NULL),
-q AS (SELECT c, t, p, min(level) AS level FROM long WHERE level > 0 GROUP BY ALL),
-o AS (SELECT c, p, min(t) AS ot FROM long WHERE level = 0 GROUP BY ALL),
-g AS (SELECT p, c AS gc, ot AS gt FROM o QUALIFY row_number() OVER (PARTITION BY p ORDER BY c, ot) = 1),
+plain AS (SELECT * FROM v WHERE p <> '' AND c IS NOT NULL AND t IS NOT NULL),
+q AS (SELECT c, t, p, min(level) AS level FROM plain WHERE level > 0 GROUP BY ALL),
+o AS (SELECT c, p, min(t) AS ot FROM plain WHERE level = 0 GROUP BY ALL),
+g AS (SELECT p, c AS gc, ot AS gt FROM o WHERE length(p) >= {quotes.LEAST_CHARS} QUALIFY row_number() OVER (PARTITION BY p ORDER BY c, ot) = 1),
 k AS (SELECT q.c, q.t, q.level, CASE WHEN o.ot < q.t THEN q.c WHEN g.gc <> q.c THEN g.gc END AS rc, CASE WHEN o.ot < q.t THEN o.ot WHEN g.gc <> q.c THEN g.gt END AS rt
       FROM q LEFT JOIN o ON q.c = o.c AND q.p = o.p LEFT JOIN g ON q.p = g.p),
 votes AS (SELECT c, t, rc, rt, min(level) AS level, count(*) AS n FROM k WHERE rc IS NOT NULL GROUP BY ALL),
@@ -172,4 +186,4 @@ FROM m LEFT JOIN own USING (r) LEFT JOIN b ON m.conv_id = b.c AND m.turn = b.t L
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _license_sql(), "op3_embedding_dedup": _EMBEDDING_SQL, "op4_source_mixing": _MIXING_SQL, "op5_line_dedup": _LINE_SQL, "op8_quote_linking": _QUOTE_SQL}
+    return {"op1_license_scan": _license_sql(), "op3_embedding_dedup": _EMBEDDING_SQL, "op4_source_mixing": _MIXING_SQL, "op5_line_dedup": _LINE_SQL, "op8_quote_linking": _QUOTE_SQL.format(conversations="conversations"), "quotes_added_to_conversations": _QUOTE_SQL.format(conversations=f"({_QUOTED.format(conversations='conversations')})")}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seqlattice.llm.common import cut, prepare
 
 MARKS = r"^[ \t]*(?:>[ \t]?)+"
-#: Characters that a passage has at least, to be linked.
+#: Characters that a passage has at least, to be linked to another conversation; within its own any passage is evidence.
 LEAST_CHARS = 10
 
 
@@ -32,7 +32,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """Every row of messages without quotes: (conv_id, turn, role, text, n_quoted, max_level, n_linked, reply_conv, reply_turn, thread_conv, thread_turn, depth).
 
     reply_conv and reply_turn name the message replied to, null without a linked passage; a passage is looked for in
-    the own conversation's earlier turns first, then in the first message anywhere that holds it. thread_conv,
+    the own conversation's earlier turns first, then, if it has least_chars characters, in the first message anywhere
+    that holds it. A mark without text quotes nothing. thread_conv,
     thread_turn and depth follow replies to their root, the message itself if it replies to none, so that (thread_conv,
     thread_turn, depth, conv_id, turn) is the reply order. A null text stays null and quotes nothing; rows with a null
     conv_id or turn keep their text, link to nothing and are linked by nothing. Repeated rows are repeated. Replies
@@ -51,17 +52,18 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     clean = clean.withColumn("n_quoted", F.greatest("n_quoted", F.lit(0)))
     valid = rows.where("c is not null and t is not null")
     passages = valid.where(quoted).select("c", "t", F.explode(F.filter(lines, lambda x: level_of(x) > 0)).alias("line"))
-    passages = passages.select("c", "t", level_of(F.col("line")).alias("level"), normal(F.col("line")).alias("p")).where(F.length("p") >= least_chars)
-    passages = cut(passages.groupBy("c", "t", F.xxhash64("p").alias("h"), F.md5("p").alias("m")).agg(F.min("level").alias("level")))
+    passages = passages.select("c", "t", level_of(F.col("line")).alias("level"), normal(F.col("line")).alias("p")).where("p <> ''")
+    long = (F.length("p") >= least_chars).alias("long")
+    passages = cut(passages.groupBy("c", "t", F.xxhash64("p").alias("h"), F.md5("p").alias("m"), long).agg(F.min("level").alias("level")))
     wanted = passages.select("h", "m").distinct()
     lines_of = valid.select("c", "t", F.explode(F.filter(lines, lambda x: level_of(x) == 0)).alias("line")).select("c", "t", normal(F.col("line")).alias("p"))
-    lines_of = lines_of.where(F.length("p") >= least_chars).select("c", "t", F.xxhash64("p").alias("h"), F.md5("p").alias("m"))
+    lines_of = lines_of.where("p <> ''").select("c", "t", F.xxhash64("p").alias("h"), F.md5("p").alias("m"))
     # originals shrink to the wanted passages, then to the first message of each, before they meet the quotes
     originals = cut(lines_of.join(wanted, ["h", "m"], "left_semi").groupBy("c", "h", "m").agg(F.min("t").alias("ot")))
     anywhere = originals.groupBy("h", "m").agg(F.min(F.struct(F.col("c").alias("gc"), F.col("ot").alias("gt"))).alias("g")).select("h", "m", "g.*")
     linked = passages.join(originals, ["c", "h", "m"], "left").join(anywhere, ["h", "m"], "left")
     inside = F.col("ot") < F.col("t")
-    outside = F.col("gc") != F.col("c")
+    outside = F.col("long") & (F.col("gc") != F.col("c"))
     linked = linked.select("c", "t", "level", F.when(inside, F.col("c")).when(outside, F.col("gc")).alias("rc"), F.when(inside, F.col("ot")).when(outside, F.col("gt")).alias("rt")).where("rc is not null")
     votes = linked.groupBy("c", "t", "rc", "rt").agg(F.min("level").alias("level"), F.count("*").alias("n"))
     best = votes.groupBy("c", "t").agg(F.min(F.struct(F.col("level"), (-F.col("n")).alias("n"), (F.col("rc") != F.col("c")).alias("far"), (-F.col("rt")).alias("rt"), F.col("rc"))).alias("b"), F.sum("n").alias("n_linked"))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from conftest import FOLDER
 from seqlattice.llm import common, decontam, embedding_dedup, langid, license_scan, line_dedup, mixing, pii, quality, queries, quotes, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _id string, _text string, fp string, rep string, key string, row string, n string, kept_text string, copies string"
@@ -320,6 +321,38 @@ def test_copies_do_not_crowd_out_a_language(spark):
     assert sorted(learned.dictionaries) == ["aa", "bb"] and learned.dictionaries["bb"].count(b"own text") >= 10
 
 
+def test_languages_by_brute_force(spark):
+    import zstandard
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    learned = langid.fit_languages(docs)
+    how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, window_log=17, min_match=4, hash_log=15, chain_log=16, search_log=4, target_length=32, write_content_size=False, write_checksum=False)
+
+    def size(lang, blocks):
+        d = zstandard.ZstdCompressionDict(learned.dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return sum(len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(b)) for b in blocks)
+
+    got = {x.doc_id: x for x in langid.identify(docs, learned).collect()}
+    checked = 0
+    for x in docs.where("length(text) < 20000").limit(60).collect():
+        words = langid.letters(x.text)
+        blocks = [words[k : k + 2048] for k in range(0, len(words), 2048)]
+        sizes = {lang: size(lang, blocks) for lang in sorted(learned.dictionaries)}
+        first, second = sorted(sizes.values())[:2]
+        if blocks and second - first >= 3:
+            checked += 1
+            assert got[x.doc_id].lang_pred == min(sizes, key=sizes.get) and got[x.doc_id].rejected == (second - first < 0.01 * second)
+    assert checked > 30
+
+
+def test_very_many_languages_and_late_text(spark):
+    rows = [(k, f"word{k} of language {k} " * 5, f"l{k:03d}") for k in range(300)] + [(1000 + k, "ka to mi re su lo " * 4, "big") for k in range(2)]
+    learned = langid.fit_languages(docs_of(spark, [*rows, (2000, "another big text", "big")]))
+    assert len(learned.dictionaries) == 256 and "big" in learned.dictionaries and "l299" not in learned.dictionaries
+    late = docs_of(spark, [(k, "digits 12 " * 700 + f"schluss{k} " * 700, "de") for k in range(40)])
+    assert b"schluss" in langid.fit_languages(late).dictionaries["de"] and b"digits" in langid.fit_languages(late).dictionaries["de"]
+
+
 def test_ties_are_broken_by_all_blocks():
     class Fixed:
         def __init__(self, likes):
@@ -504,7 +537,7 @@ def test_quotes(spark):
     rows = [
         (1, 0, "a", "The first message is here.\nIt has two lines of text."), (1, 1, "b", "> the first  message is here.\nI reply to that one."),
         (1, 2, "a", "> > The first message is here.\n> I reply to that one.\nAnd a third answer."), (1, 3, "b", ">no such passage anywhere\nfourth"), (2, 0, "a", "> And a third answer.\nfrom elsewhere"),
-        (2, 1, None, None), (None, 4, "x", "> The first message is here."), (2, 2, "b", ""), (1, 0, "a", "The first message is here.\nIt has two lines of text."), (3, 0, "q", "> \n>>\n> short"),
+        (2, 1, None, None), (None, 4, "x", "> The first message is here."), (2, 2, "b", ""), (1, 0, "a", "The first message is here.\nIt has two lines of text."), (3, 0, "q", "> \n>>\n> short"), (3, 1, "q", "yes\nand more"), (3, 2, "q", "> Yes\nso"), (4, 1, "q", "> yes\nfar"),
     ]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, level string")
     got = quotes.link_quotes(df).collect()
@@ -514,6 +547,8 @@ def test_quotes(spark):
     assert reply(1, 0) == (None, None, 0, 0) and reply(1, 1) == (1, 0, 0, 1) and reply(1, 2) == (1, 1, 0, 2) and reply(2, 0) == (1, 2, 0, 3) and reply(1, 3)[:2] == (None, None)
     assert by[2, 0].thread_conv == 1 and by[1, 2].text == "And a third answer." and by[1, 2].n_quoted == 2 and by[1, 2].max_level == 2 and by[1, 2].n_linked == 2
     assert by[2, 1].text is None and by[None, 4].text == "" and by[3, 0].n_quoted == 3 and by[3, 0].n_linked == 0 and by[2, 2].text == ""
+    # a short passage is evidence in its own conversation only
+    assert reply(3, 2) == (3, 1, 1, 1) and reply(4, 1)[:2] == (None, None)
     assert quotes.link_quotes(df.limit(0)).count() == 0
     # the SQL of the query gives the same rows, on quotes that the test tables lack
     con = __import__("duckdb").connect()
@@ -646,7 +681,10 @@ def brute_contaminated(docs, items, similarity=0.8, overlap=13):
         for i, item in items:
             v = words(item)
             n = min(len(v), overlap)
-            if i is None or len(v) < 4:
+            if i is None or not set(v) & set(w):
+                continue
+            if len(v) < 4:
+                out |= {(str(d), i)} if v == w else set()
                 continue
             for diagonal in range(-len(v) + 1, len(w)):
                 equal = [0 <= diagonal + k < len(w) and w[diagonal + k] == v[k] for k in range(len(v))]
@@ -656,12 +694,14 @@ def brute_contaminated(docs, items, similarity=0.8, overlap=13):
     return out
 
 
-@pytest.mark.parametrize("block", [10, 50_000])
+@pytest.mark.parametrize("block", [400, 1_000_000])
 def test_decontamination(spark, block):
     r = random.Random(7)
     vocabulary = [f"t{k}" for k in range(60)]
     items = [(k, " ".join(r.choices(vocabulary, k=r.randrange(1, 40)))) for k in range(25)] + [(None, "t1 t2 t3 t4 t5 t6"), (90, None), (91, "")]
-    docs = list(ODD)
+    items += [(92, "one two"), (93, " ".join(f"u{k * k % 9973}" for k in range(9000))), (94, "same")]
+    docs = [*ODD, (600, "One, two!"), (601, "one two three"), (602, " ".join(f"u{k * k % 9973}" for k in range(4085, 4105))), (603, " ".join(f"u{k * k % 9973}" for k in range(8990, 9000)))]
+    docs[-1] = (603, "x " + " ".join(f"u{k * k % 9973}" for k in range(8985, 9000)) + " y")
     for k in range(80):
         passage = (r.choice(items[:25])[1]).split()
         for _ in range(r.randrange(1 + len(passage) // 3)):
@@ -675,4 +715,10 @@ def test_decontamination(spark, block):
     clean = decontam.decontaminate(df, bench, block_words=block)
     bad = {d for d, _ in want}
     assert clean.columns == df.columns and sorted(str(x.doc_id) for x in clean.select("doc_id").collect()) == sorted(str(d) for d, _ in docs if str(d) not in bad)
+    many = spark.createDataFrame([(k, " ".join(f"i{k}w{n}" for n in range(20))) for k in range(30)], "item_id long, text string")
+    for plan in (decontam.contaminated(df, many, block_words=20), decontam.decontaminate(df, many, block_words=20)):
+        assert plan._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    hit = docs_of(spark, [(k, f"before i{k}w3 " + " ".join(f"i{k}w{n}" for n in range(4, 17)) + " after") for k in range(30)])
+    assert {(x.doc_id, x.item_id) for x in decontam.contaminated(hit, many, block_words=20).collect()} == {(k, k) for k in range(30)}
+    assert decontam.decontaminate(hit, many, block_words=20).count() == 0
     assert decontam.contaminated(df, bench.limit(0)).count() == 0 and decontam.contaminated(docs_of(spark, []), bench).count() == 0

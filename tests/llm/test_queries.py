@@ -22,7 +22,7 @@ def test_one_row_for_each_input_row(name, table, spark):
 
 def test_language_columns(spark):
     got = QUERIES["op6_language_id"](spark, FOLDER)
-    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score", "rejected"]
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     assert got.where("held_out").join(docs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.9
 
