@@ -1,15 +1,17 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked within a Hamming radius by bit-sliced comparison.
 
-Candidates come from an exact pigeonhole cover: with `radius + 2` bands, two fingerprints within the radius agree on
-two whole bands at least, so every pair of bands is one table of keys. Each bucket is stored as vertical bit planes;
-one machine word then holds the same bit of 64 fingerprints and a few carry-save counter planes update 64 distances
-at once. A block is abandoned as soon as all of its distances exceed the radius. Buckets larger than a tile are
-compared as tile pairs, so no task gathers an unbounded bucket and no pair is skipped.
+Candidates come from tables, each a mask of some of the 64 bits: fingerprints that agree on a mask share a bucket.
+The masks are an exact pigeonhole cover: with `radius + 2` bands, two fingerprints within the radius agree on two
+whole bands at least, so every pair of bands is one table.
+Each bucket is stored as vertical bit planes; one machine word then holds the same bit of 64 fingerprints and a few
+carry-save counter planes update 64 distances at once. A block is abandoned as soon as all of its distances exceed the
+radius. Buckets larger than a tile are compared as tile pairs, so no task gathers an unbounded bucket and no pair of a
+bucket is skipped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +26,10 @@ BITS = 64
 TILE = 2048
 #: Small buckets are laid side by side in one block of about this many fingerprints.
 BLOCK = 512
+#: One class in so many is counted to find large buckets; the counts decide only how a bucket is split.
+COUNTED = 16
+#: Large buckets, at most, that are broadcast; more are joined.
+FEW = 100_000
 #: Spanning forests of proposed links that are verified first; of the other pairs, those that their groups leave apart follow.
 FORESTS = 4
 
@@ -113,19 +119,27 @@ def _above(count: list[np.ndarray], radius: int) -> np.ndarray:
     return above
 
 
-def first_table(differ: np.ndarray, cuts: list[int]) -> np.ndarray:
-    """Number of the first pair of bands without a bit of `differ`, in the order of combinations(); -1 if there is none."""
-    bands = len(cuts) - 1
-    number = np.full((bands, bands), -1)
-    for t, (i, j) in enumerate(combinations(range(bands), 2)):
-        number[i, j] = t
-    equal = np.stack([(differ >> np.uint64(cuts[k])) & np.uint64((1 << (cuts[k + 1] - cuts[k])) - 1) == 0 for k in range(bands)])
-    first = equal.argmax(axis=0)
-    equal[first, np.arange(len(differ))] = False
-    return number[first, equal.argmax(axis=0)]
+def band_masks(radius: int) -> list[int]:
+    """Masks of all pairs of radius + 2 bands: every pair of fingerprints within the radius agrees on one at least."""
+    cuts = [round(BITS * k / (radius + 2)) for k in range(radius + 3)]
+    bands = [((1 << (cuts[k + 1] - cuts[k])) - 1) << cuts[k] for k in range(radius + 2)]
+    return [a | b for a, b in combinations(bands, 2)]
 
 
-def _links(radius: int, forests: int | None, cuts: list[int], spares: bool, similarity: float):
+def first_table(differ: np.ndarray, masks: Sequence[int]) -> np.ndarray:
+    """Number of the first mask without a bit of `differ`; -1 if there is none."""
+    out = np.full(len(differ), -1)
+    at = np.arange(len(differ))
+    for t, mask in enumerate(masks):
+        equal = differ[at] & np.uint64(mask) == 0
+        out[at[equal]] = t
+        at = at[~equal]
+        if not len(at):
+            break
+    return out
+
+
+def _links(radius: int, forests: int | None, masks: Sequence[int], spares: bool, similarity: float):
     def nearest_first(values: np.ndarray, table: np.ndarray, whole: np.ndarray, part: np.ndarray, group: np.ndarray | None, size: np.ndarray | None):
         """Each pair once: in the first table that both share, and in the tile of both of its parts."""
         for i, j in within_radius(values, radius):
@@ -133,7 +147,7 @@ def _links(radius: int, forests: int | None, cuts: list[int], spares: bool, simi
                 open_ = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
                 i, j = i[open_], j[open_]
             differ = values[i] ^ values[j]
-            own = (table[i] == table[j]) & (first_table(differ, cuts) == table[i]) & (whole[i] | (part[i] != part[j]))
+            own = (table[i] == table[j]) & (first_table(differ, masks) == table[i]) & (whole[i] | (part[i] != part[j]))
             i, j, differ = i[own], j[own], differ[own]
             order = np.argsort(np.bitwise_count(differ), kind="stable")
             yield i[order], j[order]
@@ -169,30 +183,35 @@ def _links(radius: int, forests: int | None, cuts: list[int], spares: bool, simi
     return run
 
 
-def fingerprint_links(classes: DataFrame, radius: int = 2, tile: int = TILE, forests: int | None = 1, *, bands: int | None = None, spares: bool = False, similarity: float = 0.0) -> DataFrame:
+def fingerprint_links(
+    classes: DataFrame, radius: int = 2, tile: int = TILE, forests: int | None = 1, *, spares: bool = False, similarity: float = 0.0, counted: int = COUNTED
+) -> DataFrame:
     """Links (a, b) that connect the representatives of all classes (fp, rep) within the radius: spanning forests of each tile.
 
-    With `radius + 2` bands, the default, every pair within the radius meets. With fewer, pairs of up to `bands - 2`
-    differing bits all meet, and wider ones if their differing bits leave two bands free. With `spares`, (a, a) is
-    added for each end of a pair that the forests leave out. Without forests (None) every pair is a link; classes
-    then also have a `group` and a `size`, and pairs of one group or of sizes too unlike for the similarity are none.
+    Every pair within the radius meets. With `spares`, (a, a) is added for each end of a pair that the forests leave out. Without forests (None)
+    every pair is a link; classes then also have a `group` and a `size`, and pairs of one group or of sizes too unlike
+    for the similarity are none. Large buckets are found by the counts of one class in `counted`, chosen by a hash.
     """
     prepare(classes.sparkSession)
-    bands = bands or radius + 2
-    cuts = [round(BITS * k / bands) for k in range(bands + 1)]
-    part = [F.shiftrightunsigned(F.col("fp"), cuts[k]).bitwiseAND((1 << (cuts[k + 1] - cuts[k])) - 1) for k in range(bands)]
-    keys = [F.struct(F.lit(t).alias("t"), part[i].alias("x"), part[j].alias("y")) for t, (i, j) in enumerate(combinations(range(bands), 2))]
+    masks = band_masks(radius)
+    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
     of = ["group", "size"] if forests is None else []
-    rows = classes.select("fp", "rep", *of, F.explode(F.array(*keys)).alias("key")).select("key.*", "fp", "rep", *of)
-    large = rows.groupBy("t", "x", "y").agg(F.count("*").alias("n")).where(F.col("n") > tile)
-    large = large.select("t", "x", "y", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
-    rows = rows.join(large, ["t", "x", "y"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.hash("fp"), F.col("parts"))
+    keys = F.array(*[F.struct(F.lit(t).cast("smallint").alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("x")) for t, m in enumerate(signed)])
+    rows = classes.select("fp", "rep", *of, F.explode(keys).alias("key")).select("key.*", "fp", "rep", *of)
+    few = classes.where(F.pmod(F.xxhash64("fp", "rep", F.lit(7)), F.lit(counted)) == 0).select("fp", F.explode(keys).alias("key")).select("key.*")
+    large = few.groupBy("t", "x").agg((F.count("*") * counted).alias("n")).where(F.col("n") > tile)
+    large = cut(large.select("t", "x", F.ceil(F.col("n") / tile).cast("int").alias("parts")))
+    n = large.count()
+    if n == 0:
+        rows = rows.withColumn("parts", F.lit(1))
+    else:
+        rows = rows.join(F.broadcast(large) if n <= FEW else large, ["t", "x"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.hash("fp", "rep"), F.col("parts"))
     # part p of a bucket of k parts meets every part, its own included: tile (min, max)
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"))))
-    rows = rows.withColumn("own", own).select("t", "x", "y", "fp", "rep", "own", *of, pair.alias("pair"))
-    tiles = rows.groupBy("t", "x", "y", "pair").agg(F.collect_list(F.struct("fp", "rep", "own", *of)).alias("items")).where(F.size("items") > 1)
-    return tiles.select("t", F.expr("pair.i = pair.j").alias("whole"), "items").mapInArrow(_links(radius, forests, cuts, spares, similarity), "a long, b long")
+    rows = rows.withColumn("own", own).select("t", "x", "fp", "rep", "own", *of, pair.alias("pair"))
+    tiles = rows.groupBy("t", "x", "pair").agg(F.collect_list(F.struct("fp", "rep", "own", *of)).alias("items")).where(F.size("items") > 1)
+    return tiles.select(F.col("t").cast("int").alias("t"), F.expr("pair.i = pair.j").alias("whole"), "items").mapInArrow(_links(radius, forests, masks, spares, similarity), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -206,24 +225,23 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     prints = cut(rows.mapInArrow(_fingerprints(shingle), "_id long, fp long"))
-    classes = cut(prints.groupBy("fp").agg(F.min("_id").alias("rep")))
-    found = components(fingerprint_links(classes.where("rep is not null"), radius))
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return prints.join(named, "fp").select(
-        F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
-    )
+    # classes are named by their fingerprints, as equal ids may have different texts
+    classes = cut(prints.groupBy("fp").agg(F.min("_id").alias("least")))
+    found = components(fingerprint_links(classes.where("least is not null").select("fp", F.col("fp").alias("rep")), radius))
+    named = cut(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    firsts = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = cut(named.join(firsts, "component").select("fp", "component_id"))
+    return prints.join(named, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _texts(shingle: int):
     """Fingerprint and a digest of the words of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             texts = binary_column(batch, "_text")
             values = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            digests = [xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split())) for t in texts]
+            digests = [_words_digest(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), pa.array(digests, pa.binary())], names=["_id", "fp", "digest"])
 
     return run
@@ -237,11 +255,21 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(w[k : k + words])) for k in range(max(1, len(w) - words + 1))], np.uint64))
 
 
+def _words_digest(text: bytes | None) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(b" ".join((text or b"").lower().split()))
+
+
 def _sets(words: int):
+    """Shingles of the rows whose words are those of their class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [shingle_set(t, words).tobytes() for t in binary_column(batch, "_text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["_id", "s"])
+            texts, digests = binary_column(batch, "_text"), batch.column(1).to_pylist()
+            own = [k for k, t in enumerate(texts) if _words_digest(t) == digests[k]]
+            got = [shingle_set(texts[k], words).tobytes() for k in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array(got, pa.binary())], names=["rep", "s"])
 
     return run
 
@@ -259,52 +287,62 @@ def _similar(similarity: float):
     return run
 
 
-def verified_groups(docs: DataFrame, shingle: int = 2, radius: int = 10, bands: int | None = None, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def verified_groups(docs: DataFrame, shingle: int = 2, radius: int = 10, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for every row of docs with a doc_id: groups of texts that are nearly equal.
 
-    Texts with the same words are one class. Fingerprints within the radius propose links; a link stands if the
-    texts' sets of `words`-word shingles have a Jaccard similarity of `similarity` at least. Forests of proposed links,
-    the nearest first, are verified at once. Of the pairs that they leave out, all whose ends are then in different
-    groups are verified too, so that each proposed pair is confirmed, refuted or inside a group. Only texts that some
-    link proposes are fetched for this. Short fingerprint shingles keep texts of similarity 0.8 near each other, about
-    5 bits apart.
+    Texts with the same words are one class. Fingerprints within the radius propose links; a link stands if the texts' sets of
+    `words`-word shingles have a Jaccard similarity of `similarity` at least. Forests of proposed links, the nearest first, are verified at once. Of the pairs that they leave out, all
+    whose ends are then in different groups are verified too, so that each proposed pair is confirmed, refuted or
+    inside a group. Only texts that some link proposes are fetched for this. Short fingerprint shingles keep texts of
+    similarity 0.8 near each other, about 5 bits apart. Null and empty texts are one class without words; rows of one
+    id may have different texts, each of its own class.
     """
     prepare(docs.sparkSession)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
     prints = cut(rows.mapInArrow(_texts(shingle), "_id long, fp long, digest binary"))
-    classes = cut(prints.groupBy("fp", "digest").agg(F.min("_id").alias("rep")))
+    # a class is named by a number of its own, as equal ids may have different texts
+    classes = cut(prints.groupBy("fp", "digest").agg(F.min("_id").alias("least")).withColumn("rep", F.xxhash64("digest")))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    proposed = cut(fingerprint_links(classes, radius, forests=FORESTS, bands=bands, spares=True).select(*ordered).distinct())
+    proposed = cut(fingerprint_links(classes, radius, forests=FORESTS, spares=True).select(*ordered).distinct())
     nearest, spare = proposed.where("a <> b"), proposed.where("a = b").select(F.col("a").alias("rep"))
     # both ends of a spare pair have links in the forests
     ends = nearest.select(F.explode(F.array("a", "b")).alias("_rep")).distinct()
-    # of repeated ids, the row with the class's words; texts are streamed past the ids, not sorted
-    some = rows.join(ends.hint("shuffle_hash"), F.col("_id") == F.col("_rep"), "left_semi")
-    sets = cut(some.mapInArrow(_sets(words), "_id long, s binary").groupBy("_id").agg(F.min("s").alias("s")))
+    # one row of each class, found by its words: texts are streamed past the classes, not sorted
+    wanted = classes.join(ends, F.col("rep") == F.col("_rep"), "left_semi").select("rep", F.col("least").alias("_least"), "digest")
+    texts = rows.join(wanted.hint("shuffle_hash"), F.col("_id") == F.col("_least"))
+    sets = cut(texts.select("rep", "digest", "_text").mapInArrow(_sets(words), "rep long, s binary").groupBy("rep").agg(F.first("s").alias("s")))
 
     def confirmed(links: DataFrame) -> DataFrame:
-        pairs = links.join(sets.select(F.col("_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("_id").alias("b"), F.col("s").alias("y")), "b")
+        pairs = links.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b")
         return cut(pairs.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"))
 
     links = confirmed(nearest)
     found = components(links).withColumnRenamed("node", "rep")
-    apart = classes.join(spare, "rep", "left_semi").join(found, "rep", "left").join(sets.select(F.col("_id").alias("rep"), F.octet_length("s").alias("size")), "rep")
+    apart = classes.join(spare, "rep", "left_semi").join(found, "rep", "left").join(sets.select("rep", F.octet_length("s").alias("size")), "rep")
     apart = cut(apart.select("fp", "rep", F.coalesce("component", "rep").alias("group"), "size"))
-    rest = cut(fingerprint_links(apart, radius, forests=None, bands=bands, similarity=similarity).select(*ordered).where("a <> b").distinct())
+    rest = cut(fingerprint_links(apart, radius, forests=None, similarity=similarity).select(*ordered).where("a <> b").distinct())
     rest = rest.join(nearest, ["a", "b"], "left_anti")
     found = components(links.unionByName(confirmed(rest))).withColumnRenamed("node", "rep")
-    named = classes.join(found, "rep", "left").select("fp", "digest", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, ["fp", "digest"]).select(F.col("_id").alias("doc_id"), "component_id")
+    named = cut(classes.join(found, "rep", "left").select("rep", "least", F.coalesce("component", "rep").alias("component")))
+    firsts = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(firsts, "component").select("rep", "component_id")
+    return prints.withColumn("rep", F.xxhash64("digest")).join(named, "rep").select(F.col("_id").alias("doc_id"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 2, radius: int = 10, bands: int | None = None, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs that represent their group: the one with the group's smallest doc_id (one of equal rows; null ids stay).
+def drop_near_duplicates(docs: DataFrame, shingle: int = 2, radius: int = 10, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that represent their group: the one with the group's smallest doc_id; null ids stay.
 
-    All columns of docs are kept as they are, whatever their names.
+    Of several rows with that id, the one whose words come first by digest stays, or one of equal rows. Null and empty
+    texts are one group. All columns of docs are kept as they are, whatever their names.
     """
-    groups = verified_groups(docs, shingle, radius, bands, words, similarity)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("keep"))
+    groups = verified_groups(docs, shingle, radius, words, similarity)
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("keep")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
-    kept = rows.where("id is not null").join(keep, F.col("id") == F.col("keep"), "left_semi")
-    first = kept.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("id"))).where("n = 1")
-    return first.select("row.*").unionByName(rows.where("id is null").select("row.*"))
+    kept = rows.where("id is not null").join(keep.hint("shuffle_hash"), F.col("id") == F.col("keep"), "left_semi")
+    # an id that stands once, as ids do, needs no choice
+    twice = cut(docs.select(F.col("doc_id").cast("long").alias("more")).where("more is not null").groupBy("more").agg(F.count("*").alias("n")).where("n > 1").select("more"))
+    if not twice.isEmpty():
+        several = kept.join(twice, F.col("id") == F.col("more"), "left_semi")
+        first = several.groupBy("id").agg(F.min_by("row", F.struct(F.md5(F.coalesce(F.col("row.text"), F.lit(""))), F.xxhash64("row.text"))).alias("row"))
+        kept = kept.join(twice, F.col("id") == F.col("more"), "left_anti").unionByName(first)
+    return kept.select("row.*").unionByName(rows.where("id is null").select("row.*"))

@@ -585,6 +585,7 @@ def test_simhash(spark, radius, tile, monkeypatch):
         rows.append((100 + k, " ".join(words).upper() if k % 7 == 0 else " ".join(words)))
     df = docs_of(spark, rows)
     monkeypatch.setattr(simhash.fingerprint_links, "__defaults__", (radius, tile, 1))
+    monkeypatch.setitem(simhash.fingerprint_links.__kwdefaults__, "counted", 1)
     got = simhash.simhash_groups(df, radius=radius).collect()
     fps = [brute_fingerprint(t) for _, t in rows]
     assert sorted((str(x.doc_id), x.fingerprint) for x in got) == sorted((str(i), f"{f:016x}") for (i, _), f in zip(rows, fps, strict=True))
@@ -647,6 +648,35 @@ def test_every_pair_within_the_radius_is_proposed(spark):
         assert [x.doc_id for x in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "").collect()] == [1]
 
 
+def test_a_hot_fingerprint_is_split(spark, monkeypatch):
+    classes = spark.range(6000).select(F.lit(77).cast("long").alias("fp"), F.col("id").alias("rep"))
+    largest = []
+    real = simhash._links
+
+    def watched(*args):
+        run = real(*args)
+
+        def seen(batches):
+            for batch in batches:
+                assert max(len(x) for x in batch.column(2)) <= 3 * 512  # two parts, unevenly dealt
+                yield from run(iter([batch]))
+
+        largest.append(run)
+        return seen
+
+    monkeypatch.setattr(simhash, "_links", watched)
+    found = common.components(simhash.fingerprint_links(classes, 2, 512))
+    assert largest and found.count() == 6000 and found.where("component <> 0").count() == 0
+
+
+def test_one_id_with_different_texts(spark):
+    a, b = " ".join(f"p{k}" for k in range(80)), " ".join(f"q{k}" for k in range(80))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, None), (5, ""), (None, a)]
+    docs = docs_of(spark, rows)
+    kept = [(x.doc_id, x.text) for x in simhash.drop_near_duplicates(docs).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(1, min([a, b], key=lambda t: hashlib.md5(t.encode()).hexdigest())), (4, None), (None, a)]))
+
+
 def test_forest_pairs():
     r = np.random.default_rng(1)
     pairs = [tuple(r.integers(0, 200, (2, 60))) for _ in range(3)]
