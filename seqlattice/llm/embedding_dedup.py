@@ -1,15 +1,18 @@
 """Near-duplicate embeddings by cosine: int8 tile products with error bounds, full precision only where a pair may link.
 
-Equal vectors collapse to one class first. Classes are grouped by nearest pivot and by angle to it; two groups whose
-angles prove by the triangle inequality that no pair can reach the threshold are never compared. Groups are dealt into
-tiles of bounded size, so a hot group becomes many tile pairs. In a tile pair the unit vectors are quantised to int8,
-multiplied tile by tile (integer products, exact in float32 up to 1,000 dimensions), and every pair whose product plus
-the two vectors' own quantisation error bounds may reach the threshold is recomputed in double precision.
+Equal vectors collapse to one class first. Classes are dealt into buckets by random rotations: in each of several
+tables, the code of a vector is its largest coordinate, with its sign, after one or more fixed rotations, so near
+vectors share a bucket. The number of rotations follows the number of classes, so that buckets stay small, and the
+number of tables follows from it: a pair right at the threshold meets in some table with a probability of `recall` at
+least, nearer pairs almost surely. Buckets are dealt into tiles of bounded size, so a hot bucket becomes many tile
+pairs. In a tile pair the unit vectors are quantised to int8, multiplied tile by tile (integer products, exact in
+float32 up to 1,000 dimensions), and every pair whose product plus the two vectors' own quantisation error bounds may
+reach the threshold is recomputed in double precision. A pair counts in the first table that it shares.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +24,12 @@ from seqlattice.llm.common import components, cut, forest, prepare
 
 #: Classes on one side of a tile pair.
 TILE = 2048
-#: Distinct vectors, at most, from which pivots are fitted; and pivots.
-SAMPLE, PIVOTS = 4096, 32
-#: Degrees of one shell around a pivot.
-SHELL = 15.0
+#: Chance that a pair right at the threshold meets, at least.
+RECALL = 0.999
+#: Classes of a bucket, were all equally likely; more classes mean one more rotation a table.
+BUCKET = 2048
+#: One class in so many is counted to find large buckets; the counts decide only how a bucket is split.
+COUNTED = 16
 _PAIRS = 1 << 16
 
 
@@ -76,78 +81,79 @@ def _matrix(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
-def fit_pivots(vectors: np.ndarray, k: int = PIVOTS, rounds: int = 8) -> np.ndarray:
-    """Unit centres by spherical k-means, started from vectors far from each other."""
-    u = units(vectors)
-    centres = [u[0]]
-    best = u @ centres[0]
-    while len(centres) < min(k, len(u)):
-        centres.append(u[int(best.argmin())])
-        best = np.maximum(best, u @ centres[-1])
-    c = np.array(centres)
-    for _ in range(rounds):
-        of = (u @ c.T).argmax(axis=1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, of, u)
-        size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
-        c = np.where(size > 0, sums / np.maximum(size, 1e-300), c)
-    return c
-
-
-def _assigned(pivots: np.ndarray, shell: float):
+def rotations(d: int, n: int, seed: int = 42) -> np.ndarray:
+    """n fixed random rotations of d dimensions."""
+    r = np.random.default_rng([seed, d])
+    return np.stack([np.linalg.qr(r.standard_normal((d, d)))[0] for _ in range(n)])
+
+
+def codes(u: np.ndarray, turned: np.ndarray) -> np.ndarray:
+    """For each rotation, the number of each unit vector's largest coordinate, and its sign: (vectors, rotations)."""
+    out = np.empty((len(u), len(turned)), np.int16 if u.shape[1] < 1 << 14 else np.int32)
+    for k, q in enumerate(turned):
+        x = u @ q
+        at = np.abs(x).argmax(axis=1)
+        out[:, k] = 2 * at + (x[np.arange(len(u)), at] < 0)
+    return out
+
+
+def meeting_rate(d: int, threshold: float, pairs: int = 1 << 14, seed: int = 7) -> float:
+    """Share of pairs of d-dimensional vectors right at the threshold that have one code, by a fixed simulation."""
+    r = np.random.default_rng([seed, d])
+    u, v = units(r.standard_normal((pairs, d))), r.standard_normal((pairs, d))
+    if d > 1:
+        v = units(v - (u * v).sum(axis=1, keepdims=True) * u)
+        v = threshold * u + math.sqrt(1 - threshold * threshold) * v
+    else:
+        v = u
+    q = rotations(d, 1, seed)
+    # a little under what was seen, so that chance does not make it look better
+    seen = float((codes(u, q) == codes(v, q)).mean())
+    return max(seen - 2 * math.sqrt(seen * (1 - seen) / pairs), 1e-3)
+
+
+def plan_of(classes: int, d: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
+    """(rotations a table, tables) for so many classes."""
+    each = max(1, math.ceil(math.log(max(2, classes) / BUCKET) / math.log(2 * d))) if d > 1 else 1
+    met = meeting_rate(d, threshold) ** each
+    return each, max(1, math.ceil(math.log(1 - recall) / math.log(1 - met))) if met < 1 else 1
+
+
+def _placed(turned, each: int):
+    """Each class once for every table: (rep, vec, copies, t, bucket, all its buckets)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cosine = np.clip(units(_matrix(batch.column(1))) @ pivots.T, -1, 1)
-            of = cosine.argmax(axis=1)
-            angle = np.degrees(np.arccos(cosine[np.arange(len(of)), of]))
-            group = of * 64 + (angle / shell).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group), pa.array(angle)], names=["rep", "vec", "copies", "grp", "angle"])
+            found = codes(units(_matrix(batch.column(1))), turned.value).astype(np.int64)
+            tables = found.shape[1] // each
+            wide = 2 * turned.value.shape[1]
+            buckets = sum(found[:, k::each] * wide**k for k in range(each))
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(buckets.ravel()), tables).cast(pa.list_(pa.int64()))
+            for t in range(tables):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(found), t, np.int32)), pa.array(buckets[:, t]), flat], names=["rep", "vec", "copies", "t", "bucket", "buckets"])
 
     return run
 
 
-def possible_pairs(groups: list[tuple[int, float, float]], pivots: np.ndarray, reach: float) -> list[tuple[int, int]]:
-    """Pairs (g, h), g <= h, of groups (id, least and greatest angle to the pivot) that may hold linked vectors."""
-    ids = np.array([g for g, _, _ in groups], np.int64)
-    low, high = np.array([x for _, x, _ in groups]), np.array([x for _, _, x in groups])
-    between = np.degrees(np.arccos(np.clip(pivots @ pivots.T, -1, 1)))
-    np.fill_diagonal(between, 0)
-    d = between[np.ix_(ids // 64, ids // 64)]
-    # an angle between members is at least d - high - high', and at least low - (d + high') from either side
-    least = np.maximum.reduce([d - high[:, None] - high[None, :], low[:, None] - d - high[None, :], low[None, :] - d - high[:, None]])
-    g, h = np.nonzero((least <= reach + 1e-6) & (ids[:, None] <= ids[None, :]))
-    return list(zip(ids[g].tolist(), ids[h].tolist(), strict=True))
-
-
-def packed(sizes: dict[int, int], tile: int) -> dict[int, int]:
-    """Bin of each group: neighbouring small groups share a bin of at most `tile` members, a larger group has its own."""
-    out, k, room = {}, -1, 0
-    for g in sorted(sizes):
-        if sizes[g] > room:
-            k, room = k + 1, tile
-        out[g] = k
-        room -= sizes[g]
-    return out
-
-
 def _compared(threshold: float):
-    """Of each tile pair, over the whole cell: links of each class (weighted by copies) and a spanning forest."""
+    """Of each tile pair: links of each class (weighted by copies) and a spanning forest, over the pairs that are its own."""
 
     def run(keys: tuple, table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
-        order = np.argsort(side, kind="stable")
-        table = table.take(pa.array(order))
+        table = table.take(pa.array(np.argsort(side, kind="stable")))
         n, m = len(side), int((side == 0).sum())
         rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
-        u = units(_matrix(table.column("vec").combine_chunks()))
-        same = keys[0].as_py() == keys[1].as_py() and keys[2].as_py() == keys[3].as_py()
+        u, buckets = units(_matrix(table.column("vec").combine_chunks())), _matrix(table.column("buckets").combine_chunks()).astype(np.int64)
+        t, same = keys[0].as_py(), keys[2].as_py() == keys[3].as_py()
         weight = np.zeros(n, np.int64)
 
         def counted():
             for i, j in links(u[:m], u if same else u[m:], threshold, same):
                 j = j if same else j + m
+                own = ~(buckets[i, :t] == buckets[j, :t]).any(axis=1)  # no table before this one has the pair
+                i, j = i[own], j[own]
                 np.add.at(weight, i, copies[j])
                 np.add.at(weight, j, copies[i])
                 yield i, j
@@ -159,15 +165,36 @@ def _compared(threshold: float):
     return run
 
 
-def embedding_groups(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, tile: int = TILE, pivots: int = PIVOTS, sample: int = SAMPLE
-) -> DataFrame:
+def class_links(classes: DataFrame, d: int, threshold: float, tile: int = TILE, recall: float = RECALL, counted: int = COUNTED) -> DataFrame:
+    """(a, b, w) of classes (rep, vec, copies) of one length d: links that connect them, and each one's number of linked vectors."""
+    spark = classes.sparkSession
+    each, tables = plan_of(classes.count(), d, threshold, recall)
+    turned = spark.sparkContext.broadcast(rotations(d, each * tables))  # d * d numbers a rotation
+    kinds = "rep long, vec " + dict(classes.dtypes)["vec"] + ", copies long, t int, bucket long, buckets array<long>"
+    rows = classes.select("rep", "vec", "copies").mapInArrow(_placed(turned, each), kinds)
+    few = classes.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(counted)) == 0).select("rep", "vec", "copies").mapInArrow(_placed(turned, each), kinds)
+    large = few.groupBy("t", "bucket").agg((F.count("*") * counted).alias("n")).where(F.col("n") > tile)
+    large = cut(large.select("t", "bucket", F.ceil(F.col("n") / tile).cast("int").alias("parts")))
+    if large.isEmpty():
+        rows = rows.withColumn("parts", F.lit(1))
+    else:
+        rows = rows.join(large, ["t", "bucket"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # part p of a bucket of k parts meets every part, its own included: tile (i, j), i <= j
+    p = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    cell = lambda o: F.struct(F.least(o, F.col("p")).alias("i"), F.greatest(o, F.col("p")).alias("j"), F.when(F.col("p") <= o, 0).otherwise(1).alias("side"))
+    cells = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), cell)).alias("c")
+    tiles = rows.withColumn("p", p).select("t", "bucket", "rep", "copies", "vec", "buckets", cells).select("t", "bucket", "c.i", "c.j", "c.side", "rep", "copies", "vec", "buckets")
+    return cut(tiles.groupBy("t", "bucket", "i", "j").applyInArrow(_compared(threshold), "a long, b long, w long"))
+
+
+def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, tile: int = TILE, recall: float = RECALL) -> DataFrame:
     """(id, n_links, component_id, kept) for every row: direct links at cosine >= threshold, smallest reachable id.
 
-    A vector that is null, empty, zero, or holds a null or non-finite component links with nothing. Vectors of
-    different lengths do not link. Equal vectors link with each other; repeated rows count as further vectors. A row
-    with a null id links with nothing and has a null component. Other columns are ignored. Pivots, which only
-    decide what is compared with what, are fitted on at most `sample` distinct vectors; every vector is compared.
+    Every link found is exact; a pair right at the threshold is found with a probability of `recall` at least, nearer
+    ones almost surely. A vector that is null, empty, zero, or holds a null or non-finite component links with
+    nothing. Vectors of different lengths do not link. Equal vectors link with each other; repeated rows count as
+    further vectors, and rows of one id may have different vectors. A row with a null id links with nothing and has a
+    null component. Other columns are ignored.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -176,45 +203,24 @@ def embedding_groups(
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("vec"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     good = F.col("_id").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", bad) & F.exists("vec", lambda x: x != 0)
-    rows = cut(rows.withColumn("vec", F.when(F.coalesce(good, F.lit(False)), F.col("vec"))))
-    classes = cut(rows.where("vec is not null").groupBy("vec").agg(F.min("_id").alias("rep"), F.count("*").alias("copies")))
+    rows = cut(rows.withColumn("ok", F.coalesce(good, F.lit(False))))
+    # classes are named by a hash of their vector, as equal ids may have different ones
+    vec = F.transform("vec", lambda x: F.when(x == 0, F.lit(0).cast(dict(rows.dtypes)["vec"][6:-1])).otherwise(x))
+    usable_rows = rows.where("ok").select("_id", vec.alias("vec"))
+    classes = cut(usable_rows.groupBy("vec").agg(F.min("_id").alias("least"), F.count("*").alias("copies")).withColumn("rep", F.xxhash64("vec")))
     sizes = [r.d for r in classes.groupBy(F.size("vec").alias("d")).count().select("d").collect()]
-    edges, counts = [], []
-    for d in sizes:  # vectors of each length by themselves; a table has one length, or a few
-        own = classes.where(F.size("vec") == d)
-        some = np.array([r.vec for r in own.orderBy(F.xxhash64("vec")).limit(sample).collect()], np.float64)
-        centres = fit_pivots(some, pivots)
-        kinds = "rep long, vec " + dict(own.dtypes)["vec"] + ", copies long, grp long, angle double"
-        placed = cut(own.select("rep", "vec", "copies").mapInArrow(_assigned(centres, SHELL), kinds))
-        groups = placed.groupBy("grp").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi")).collect()  # at most 64 a pivot
-        bins = packed({g.grp: g.n for g in groups}, tile)
-        parts = defaultdict(int)
-        for g in groups:
-            parts[bins[g.grp]] += g.n
-        parts = {k: -(-n // tile) for k, n in parts.items()}
-        near = possible_pairs([(g.grp, g.lo - 1e-6, g.hi + 1e-6) for g in groups], centres, float(np.degrees(np.arccos(threshold))))
-        pairs = sorted({(min(bins[g], bins[h]), max(bins[g], bins[h])) for g, h in near})
-        deals = [(g, h, g, 0, parts[g], parts[h]) for g, h in pairs] + [(g, h, h, 1, parts[g], parts[h]) for g, h in pairs if g != h]
-        deal = F.broadcast(spark.createDataFrame(deals, "g int, h int, bin int, side int, pg int, ph int"))  # at most (64 * pivots)^2 rows
-        bin_of = F.broadcast(spark.createDataFrame(list(bins.items()), "grp long, bin int"))
-        part = F.pmod(F.xxhash64("rep"), F.when(F.col("side") == 0, F.col("pg")).otherwise(F.col("ph"))).cast("int")
-        dealt = placed.join(bin_of, "grp").join(deal, "bin").withColumn("part", part)
-        seq = lambda n: F.sequence(F.lit(0), n - 1)
-        st = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
-        p = F.col("part")
-        cells = F.when(
-            F.col("g") == F.col("h"), F.transform(seq(F.col("pg")), lambda o: st(F.least(o, p), F.greatest(o, p), F.when(p <= o, 0).otherwise(1)))
-        ).when(F.col("side") == 0, F.transform(seq(F.col("ph")), lambda o: st(p, o, F.lit(0)))).otherwise(F.transform(seq(F.col("pg")), lambda o: st(o, p, F.lit(1))))
-        tiles = dealt.select("g", "h", "rep", "copies", "vec", F.explode(cells).alias("c")).select("g", "h", "c.i", "c.j", "c.side", "rep", "copies", "vec")
-        found = cut(tiles.groupBy("g", "h", "i", "j").applyInArrow(_compared(threshold), "a long, b long, w long"))
-        edges.append(found.where("a <> b").select("a", "b"))
-        counts.append(found.select(F.col("a").alias("rep"), "w"))
-    if not sizes:
-        return rows.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.col("_id").isNotNull().alias("kept"))
-    all_edges, all_counts = edges[0], counts[0]
-    for e, c in zip(edges[1:], counts[1:], strict=True):
-        all_edges, all_counts = all_edges.unionByName(e), all_counts.unionByName(c)
-    named = classes.join(all_counts.groupBy("rep").agg(F.sum("w").alias("w")), "rep", "left").join(components(all_edges).withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("vec", "rep", (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(named, "vec", "left").select(F.col("_id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+    found = [class_links(classes.where(F.size("vec") == d), d, threshold, tile, recall) for d in sizes]  # a table has one length, or a few
+    alone = rows.where("not ok").select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.col("_id").isNotNull().alias("kept"))
+    if not found:
+        return alone
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    reached = components(every.where("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
+    named = classes.join(every.groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w")), "rep", "left").join(reached, "rep", "left")
+    named = cut(named.select("rep", "least", (F.coalesce("w", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component")))
+    firsts = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = cut(named.join(firsts, "component").select("rep", "n", "component_id"))
+    out = usable_rows.select("_id", F.xxhash64("vec").alias("rep")).join(named, "rep")
+    out = out.select(F.col("_id").alias(id_col), F.col("n").cast("long").alias("n_links"), "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))
+    return out.unionByName(alone)

@@ -151,7 +151,8 @@ def brute_embeddings(vectors, threshold):
 
 
 @pytest.mark.parametrize("tile", [7, 2048])
-def test_embedding_links(spark, tile):
+def test_embedding_links(spark, tile, monkeypatch):
+    monkeypatch.setattr(embedding_dedup.class_links, "__defaults__", (tile, embedding_dedup.RECALL, 1))
     r = np.random.default_rng(2)
     base = r.normal(size=(60, 8))
     vectors = [(k, base[k % 40 if k < 60 else 0].tolist() if k % 3 else (base[k % 60] + r.normal(scale=0.35, size=8)).tolist()) for k in range(120)]
@@ -171,6 +172,28 @@ def test_embedding_links(spark, tile):
     assert max(links.values()) > 2 and len(pairs) > 30
 
 
+def test_pairs_at_the_threshold_meet():
+    r = np.random.default_rng(9)
+    for d, classes in ((16, 5000), (64, 60_000), (64, 10_000_000)):
+        each, tables = embedding_dedup.plan_of(classes, d, 0.9)
+        u, v = embedding_dedup.units(r.normal(size=(2000, d))), r.normal(size=(2000, d))
+        v = embedding_dedup.units(v - (u * v).sum(axis=1, keepdims=True) * u)
+        v = 0.9 * u + np.sqrt(1 - 0.81) * v
+        turned = embedding_dedup.rotations(d, each * tables)
+        same = (embedding_dedup.codes(u, turned) == embedding_dedup.codes(v, turned)).reshape(2000, tables, each).all(axis=2)
+        assert same.any(axis=1).mean() > 0.99
+        # unlike vectors rarely share a bucket
+        w = embedding_dedup.codes(embedding_dedup.units(r.normal(size=(2000, d))), turned)
+        assert (w == embedding_dedup.codes(u, turned)).reshape(2000, tables, each).all(axis=2).mean() < 3 * (2 * d) ** -each
+
+
+def test_one_vector_id_with_different_vectors(spark):
+    a, b = [1.0] + [0.0] * 7, [0.0] * 7 + [1.0]
+    rows = [(1, a), (1, b), (2, a), (3, [-0.0 + x for x in b]), (4, [0.0] * 3 + [1.0] + [-0.0] * 4), (5, [0.0] * 3 + [1.0] + [0.0] * 4)]
+    got = embedding_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((x.vec_id, x.n_links, x.component_id) for x in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (5, 1, 4)]
+
+
 def test_embedding_bounds_are_rigorous():
     r = np.random.default_rng(4)
     u = embedding_dedup.units(r.normal(size=(500, 64)) * r.uniform(0.01, 3, size=(500, 64)))
