@@ -17,13 +17,17 @@ BATCH_BYTES = "16m"
 def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes and make sure that checkpoint() has a folder all executors share.
 
-    The folder is the one named in spark.checkpoint.dir. Only where that is unset (a local session, as in
-    tests) a temporary folder of this machine is used.
+    The folder is the one named in spark.checkpoint.dir. Only in a local session where that is unset, as in tests, a
+    temporary folder of this machine is used; on a cluster that is an error. Files of checkpoints that are no longer
+    referenced go with spark.cleaner.referenceTracking.cleanCheckpoints.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
