@@ -30,6 +30,8 @@ BLOCK = 512
 COUNTED = 16
 #: Large buckets, at most, that are broadcast; more are joined.
 FEW = 100_000
+#: Counts of a text's shingles by their hash; the sum of the lesser counts of two texts bounds what they have in common.
+COUNTS = 128
 #: Spanning forests of proposed links that are verified first; of the other pairs, those that their groups leave apart follow.
 FORESTS = 4
 
@@ -139,14 +141,33 @@ def first_table(differ: np.ndarray, masks: Sequence[int]) -> np.ndarray:
     return out
 
 
+def shingle_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles have each of COUNTS hash values; 255 stands for 255 or more."""
+    return np.minimum(np.bincount((shingles % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8)
+
+
+def may_be_similar(counts: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float, step: int = 1 << 14) -> np.ndarray:
+    """Whether pairs may reach the Jaccard similarity: the lesser counts, summed up, are at least what they have in common."""
+    out = np.empty(len(i), bool)
+    for k in range(0, len(i), step):
+        a, b = i[k : k + step], j[k : k + step]
+        least = np.minimum(counts[a], counts[b])
+        most = least.sum(axis=1, dtype=np.int64)
+        out[k : k + step] = (least == 255).any(axis=1) | (most >= similarity / (1 + similarity) * (size[a] + size[b]) - 1e-6)
+    return out
+
+
 def _links(radius: int, forests: int | None, masks: Sequence[int], spares: bool, similarity: float):
-    def nearest_first(values: np.ndarray, table: np.ndarray, whole: np.ndarray, part: np.ndarray, group: np.ndarray | None, size: np.ndarray | None):
+    def nearest_first(values: np.ndarray, table: np.ndarray, whole: np.ndarray, part: np.ndarray, group: np.ndarray | None, size: np.ndarray | None, counts: np.ndarray | None):
         """Each pair once: in the first table that both share, and in the tile of both of its parts."""
         for i, j in within_radius(values, radius):
             if group is not None:
                 open_ = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
                 i, j = i[open_], j[open_]
             differ = values[i] ^ values[j]
+            if counts is not None and len(i):
+                open_ = may_be_similar(counts, size, i, j, similarity)
+                i, j, differ = i[open_], j[open_], differ[open_]
             own = (table[i] == table[j]) & (first_table(differ, masks) == table[i]) & (whole[i] | (part[i] != part[j]))
             i, j, differ = i[own], j[own], differ[own]
             order = np.argsort(np.bitwise_count(differ), kind="stable")
@@ -163,39 +184,59 @@ def _links(radius: int, forests: int | None, masks: Sequence[int], spares: bool,
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])
 
+    def compared(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Whole buckets, one after the other; those of a single member are passed over, small ones share a block."""
+        size = np.diff(np.append(_starts(columns), len(columns[0])))
+        some = np.repeat(size > 1, size)
+        t, _, i, j, fp, rep, part, *of = [c[some] for c in columns]
+        if of:
+            of[2] = np.frombuffer(b"".join(of[2]), np.uint8).reshape(-1, COUNTS)
+        ends, at = np.cumsum(size[size > 1]), 0
+        while at < len(t):
+            end = int(ends[min(np.searchsorted(ends, at + BLOCK), len(ends) - 1)])
+            own = slice(at, end)
+            yield from joined(fp[own].view(np.uint64), rep[own], t[own], (i == j)[own], part[own], *([c[own] for c in of] or [None, None, None]))
+            at = end
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            lists = batch.column(2)
-            sizes = np.diff(lists.offsets.to_numpy())
-            values = lists.flatten()
-            fps, ids = values.field(0).to_numpy().view(np.uint64), values.field(1).to_numpy()
-            table, whole = np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes)
-            part = values.field(2).to_numpy()
-            group, size = (values.field(k).to_numpy() for k in (3, 4)) if values.type.num_fields > 3 else (None, None)
-            ends = np.cumsum(sizes)
-            start = at = 0
-            for k, end in enumerate(ends):
-                # buckets share a block until it is full
-                if k + 1 == len(ends) or ends[k + 1] - start > BLOCK or end - start >= BLOCK:
-                    start, at = end, start
-                    yield from joined(fps[at:end], ids[at:end], *(None if c is None else c[at:end] for c in (table, whole, part, group, size)))
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            last = int(_starts(held)[-1])  # the last bucket may go on in the next batch
+            if last:
+                yield from compared([c[:last] for c in held])
+                held = [c[last:].copy() for c in held]
+        if held is not None:
+            yield from compared(held)
 
     return run
 
 
+def _starts(columns: list[np.ndarray]) -> np.ndarray:
+    """Where buckets start: rows in order, a bucket is named by the first four columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns[:4]:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
 def fingerprint_links(
     classes: DataFrame, radius: int = 2, tile: int = TILE, forests: int | None = 1, *, spares: bool = False, similarity: float = 0.0, counted: int = COUNTED
 ) -> DataFrame:
     """Links (a, b) that connect the representatives of all classes (fp, rep) within the radius: spanning forests of each tile.
 
     Every pair within the radius meets. With `spares`, (a, a) is added for each end of a pair that the forests leave out. Without forests (None)
-    every pair is a link; classes then also have a `group` and a `size`, and pairs of one group or of sizes too unlike
-    for the similarity are none. Large buckets are found by the counts of one class in `counted`, chosen by a hash.
+    every pair is a link; classes then also have a `group`, a `size` and shingle `counts`, and pairs of one group, or
+    that by sizes or counts cannot be similar, are none. Large buckets are found by the counts of one class in `counted`, chosen by a hash.
     """
     prepare(classes.sparkSession)
     masks = band_masks(radius)
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
-    of = ["group", "size"] if forests is None else []
+    of = ["group", "size", "counts"] if forests is None else []
     keys = F.array(*[F.struct(F.lit(t).cast("smallint").alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("x")) for t, m in enumerate(signed)])
     rows = classes.select("fp", "rep", *of, F.explode(keys).alias("key")).select("key.*", "fp", "rep", *of)
     few = classes.where(F.pmod(F.xxhash64("fp", "rep", F.lit(7)), F.lit(counted)) == 0).select("fp", F.explode(keys).alias("key")).select("key.*")
@@ -210,8 +251,10 @@ def fingerprint_links(
     # part p of a bucket of k parts meets every part, its own included: tile (min, max)
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"))))
     rows = rows.withColumn("own", own).select("t", "x", "fp", "rep", "own", *of, pair.alias("pair"))
-    tiles = rows.groupBy("t", "x", "pair").agg(F.collect_list(F.struct("fp", "rep", "own", *of)).alias("items")).where(F.size("items") > 1)
-    return tiles.select(F.col("t").cast("int").alias("t"), F.expr("pair.i = pair.j").alias("whole"), "items").mapInArrow(_links(radius, forests, masks, spares, similarity), "a long, b long")
+    # plain rows in the order of their tiles: nothing is gathered in the JVM, a worker holds one tile
+    bucket = ["t", "x", "i", "j"]
+    tiles = rows.select("t", "x", "pair.i", "pair.j", "fp", "rep", "own", *of).repartition(*bucket).sortWithinPartitions(*bucket)
+    return tiles.mapInArrow(_links(radius, forests, masks, spares, similarity), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -268,8 +311,9 @@ def _sets(words: int):
         for batch in batches:
             texts, digests = binary_column(batch, "_text"), batch.column(1).to_pylist()
             own = [k for k, t in enumerate(texts) if _words_digest(t) == digests[k]]
-            got = [shingle_set(texts[k], words).tobytes() for k in own]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array(got, pa.binary())], names=["rep", "s"])
+            got = [shingle_set(texts[k], words) for k in own]
+            lists = [pa.array([f(x).tobytes() for x in got], pa.binary()) for f in (np.asarray, shingle_counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), *lists], names=["rep", "s", "counts"])
 
     return run
 
@@ -310,7 +354,7 @@ def verified_groups(docs: DataFrame, shingle: int = 2, radius: int = 10, words:
     # one row of each class, found by its words: texts are streamed past the classes, not sorted
     wanted = classes.join(ends, F.col("rep") == F.col("_rep"), "left_semi").select("rep", F.col("least").alias("_least"), "digest")
     texts = rows.join(wanted.hint("shuffle_hash"), F.col("_id") == F.col("_least"))
-    sets = cut(texts.select("rep", "digest", "_text").mapInArrow(_sets(words), "rep long, s binary").groupBy("rep").agg(F.first("s").alias("s")))
+    sets = cut(texts.select("rep", "digest", "_text").mapInArrow(_sets(words), "rep long, s binary, counts binary").groupBy("rep").agg(F.first("s").alias("s"), F.first("counts").alias("counts")))
 
     def confirmed(links: DataFrame) -> DataFrame:
         pairs = links.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("y")), "b")
@@ -318,8 +362,8 @@ def verified_groups(docs: DataFrame, shingle: int = 2, radius: int = 10, words:
 
     links = confirmed(nearest)
     found = components(links).withColumnRenamed("node", "rep")
-    apart = classes.join(spare, "rep", "left_semi").join(found, "rep", "left").join(sets.select("rep", F.octet_length("s").alias("size")), "rep")
-    apart = cut(apart.select("fp", "rep", F.coalesce("component", "rep").alias("group"), "size"))
+    apart = classes.join(spare, "rep", "left_semi").join(found, "rep", "left").join(sets.select("rep", (F.octet_length("s") / 8).cast("int").alias("size"), "counts"), "rep")
+    apart = cut(apart.select("fp", "rep", F.coalesce("component", "rep").alias("group"), "size", "counts"))
     rest = cut(fingerprint_links(apart, radius, forests=None, similarity=similarity).select(*ordered).where("a <> b").distinct())
     rest = rest.join(nearest, ["a", "b"], "left_anti")
     found = components(links.unionByName(confirmed(rest))).withColumnRenamed("node", "rep")

@@ -687,9 +687,10 @@ def test_a_hot_fingerprint_is_split(spark, monkeypatch):
         run = real(*args)
 
         def seen(batches):
-            for batch in batches:
-                assert max(len(x) for x in batch.column(2)) <= 3 * 512  # two parts, unevenly dealt
-                yield from run(iter([batch]))
+            batches = list(batches)
+            sizes = __import__("collections").Counter(k for x in batches for k in zip(*(x.column(c).to_pylist() for c in range(4)), strict=True))
+            assert not sizes or max(sizes.values()) <= 3 * 512  # two parts, unevenly dealt
+            yield from run(iter(batches))
 
         largest.append(run)
         return seen
@@ -699,6 +700,18 @@ def test_a_hot_fingerprint_is_split(spark, monkeypatch):
     assert largest and found.count() == 6000 and found.where("component <> 0").count() == 0
 
 
+def test_counts_never_rule_out_similar_texts():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 40, 300, 5000, 60_000)]
+    sets += [np.unique(np.concatenate((x[: int(len(x) * share)], r.integers(0, 1 << 63, max(1, int(len(x) * extra))).astype(np.uint64)))) for x in sets for share in (1, 0.9, 0.5) for extra in (0.01, 0.1)]
+    counts, size = np.stack([simhash.shingle_counts(x) for x in sets]), np.array([len(x) for x in sets])
+    i, j = (np.array(x) for x in zip(*itertools.combinations(range(len(sets)), 2), strict=True))
+    may = simhash.may_be_similar(counts, size, i, j, 0.8, step=50)
+    common = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    similar = common >= 0.8 * (size[i] + size[j] - common)
+    assert may[similar].all() and similar.sum() > 5 and not may[(common == 0) & (np.maximum(size[i], size[j]) < 9000)].any()
+
+
 def test_one_id_with_different_texts(spark):
     a, b = " ".join(f"p{k}" for k in range(80)), " ".join(f"q{k}" for k in range(80))
     rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, None), (5, ""), (None, a)]
