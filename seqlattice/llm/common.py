@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch sent to a Python worker; whole texts are long, so a row count alone bounds nothing.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 
 
 def prepare(spark: SparkSession) -> None:
