@@ -77,6 +77,26 @@ def pooled(chunks: DataFrame, id_col: str, vec_col: str = "vec", chunk_col: str
     )
 
 
+# The reduction of a chunk that a pooling averages over the chunks.
+REDUCTION = {"meanmean": "mean", "specialmean": "special_mean", "maxmean": "max", "clsmean": "cls"}
+
+
+def mean_of_chunks(chunks: DataFrame, id_col: str, pooling: str) -> DataFrame:
+    """(id, x): mean over an id's chunks of the reduction that the pooling needs.
+
+    Without a column for the reduction that is an error at once; a chunk in which it is null fails the run.
+    """
+    if pooling not in REDUCTION:
+        raise ValueError(f"unknown pooling: {pooling!r}")
+    name = REDUCTION[pooling]
+    if name not in chunks.columns:
+        raise ValueError(f"{pooling} needs {name}")
+    absent = F.raise_error(F.concat(F.lit(f"{pooling} needs {name}, absent in a chunk of "), F.col(id_col).cast("string"))).cast(dict(chunks.dtypes)[name])
+    parts = chunks.select(id_col, F.when(F.col(name).isNull(), absent).otherwise(F.col(name)).alias("v")).select(id_col, F.posexplode("v").alias("i", "v"))
+    dims = parts.groupBy(id_col, "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    return dims.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("x"))
+
+
 def mean_d(p: DataFrame) -> Column:
     return F.concat(p["first_vec"], p["last_vec"], p["mean_vec"])
 

@@ -90,11 +90,24 @@ def seeded(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
 
 
+def placed(df: DataFrame, key: str, stratum: str, seed: int = 42) -> DataFrame:
+    """df with `_p`, the place (from 1) in its stratum by digest of key, then key, and `_c`, the stratum's rows.
+
+    A stratum is sorted in 4096 ranges of the digest; counts of the ranges, a few rows a stratum, give where each
+    begins. No task holds a whole stratum.
+    """
+    ranged = df.withColumn("_d", seeded(F.col(key), seed)).withColumn("_b", F.left("_d", F.lit(3)))
+    counts = ranged.groupBy(F.col(stratum).alias("_s"), F.col("_b").alias("_r")).agg(F.count("*").alias("_k"))
+    whole = Window.partitionBy("_s")
+    counts = counts.withColumn("_before", F.sum("_k").over(whole.orderBy("_r")) - F.col("_k")).withColumn("_c", F.sum("_k").over(whole)).drop("_k")
+    joined = ranged.join(counts, F.col(stratum).eqNullSafe(F.col("_s")) & F.col("_b").eqNullSafe(F.col("_r")))
+    place = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_d", key)) + F.col("_before")
+    return joined.withColumn("_p", place).drop("_d", "_b", "_s", "_r", "_before")
+
+
 def stratified_split(df: DataFrame, key: str, stratum: str, seed: int = 42, train: float = 0.70, val: float = 0.15) -> DataFrame:
     """df with `split`: exact shares within each stratum, the same at every run."""
-    order = Window.partitionBy(stratum).orderBy(seeded(F.col(key), seed), key)
-    place, n = F.row_number().over(order), F.count("*").over(Window.partitionBy(stratum))
-    return df.withColumn("_p", place).withColumn("_c", n).withColumn(
+    return placed(df, key, stratum, seed).withColumn(
         "split", F.when(F.col("_p") <= F.floor(F.col("_c") * train), "train").when(F.col("_p") <= F.floor(F.col("_c") * (train + val)), "val").otherwise("test")
     ).drop("_p", "_c")
 
@@ -104,8 +117,7 @@ def balanced_sample(df: DataFrame, key: str, group: str, values: Sequence, seed:
     rows = df.where(F.col(group).isin(*values))
     counts = rows.groupBy(group).agg(F.count("*").alias("_c"))
     least = counts.agg(F.min("_c").alias("_least"), F.count("*").alias("_k")).select(F.when(F.col("_k") == len(values), F.col("_least")).otherwise(0).alias("_least"))
-    placed = rows.withColumn("_p", F.row_number().over(Window.partitionBy(group).orderBy(seeded(F.col(key), seed), key)))
-    return placed.crossJoin(F.broadcast(least)).where("_p <= _least").drop("_p", "_least")
+    return placed(rows, key, group, seed).crossJoin(F.broadcast(least)).where("_p <= _least").drop("_p", "_c", "_least")
 
 
 def permuted_labels(df: DataFrame, key: str, label: str, within: str | None = None, seed: int = 42) -> DataFrame:

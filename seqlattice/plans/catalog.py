@@ -175,17 +175,17 @@ def _(spark, d):
     return curation.balanced_sample(_t(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang", ["de", "fr"])
 
 
-_DRAWS = "p AS (SELECT vec_id, {s} AS s, row_number() OVER (PARTITION BY {s} ORDER BY vec_id) - 1 AS n FROM preds), z AS (SELECT s, count(*) AS size FROM p GROUP BY s), dr AS (SELECT r AS rep, s, ('0x' || substr(md5('42|' || r || '|' || s || '|' || j), 1, 8))::BIGINT % size AS n FROM z, range({reps}) t(r), range(100000) u(j) WHERE j < size), w AS (SELECT rep, s, n, count(*) AS w FROM dr GROUP BY ALL), bw AS (SELECT rep, vec_id, w FROM w JOIN p USING (s, n))"
+_DRAWS = "p AS (SELECT vec_id, {s} AS s, row_number() OVER (PARTITION BY {s} ORDER BY vec_id) - 1 AS n FROM preds), z AS (SELECT s, count(*) AS size FROM p GROUP BY s), dr AS (SELECT r AS rep, s, ('0x' || substr(md5('42|' || r || '|' || s || '|' || j), 1, 8))::BIGINT % size AS n FROM (SELECT s, size, unnest(range(size)) AS j FROM z), range({reps}) t(r)), w AS (SELECT rep, s, n, count(*) AS w FROM dr GROUP BY ALL), bw AS (SELECT rep, vec_id, w FROM w JOIN p USING (s, n))"
 
 
-@query("f12_stratified_draws", f"WITH {cte('preds')}, {_DRAWS.format(s='t', reps=5)} SELECT * FROM bw")
+@query("f12_stratified_draws", f"WITH {cte('preds')}, {_DRAWS.format(s='t', reps=1000)} SELECT * FROM bw")
 def _(spark, d):
-    return models.stratified_draws(spark_view(spark, d, "preds"), "vec_id", "t", 5)
+    return models.stratified_draws(spark_view(spark, d, "preds"), "vec_id", "t", 1000)
 
 
-@query("f13_draws", f"WITH {cte('preds')}, {_DRAWS.format(s=repr(''), reps=3)} SELECT * FROM bw")
+@query("f13_draws", f"WITH {cte('preds')}, {_DRAWS.format(s=repr(''), reps=1000)} SELECT * FROM bw")
 def _(spark, d):
-    return models.stratified_draws(spark_view(spark, d, "preds"), "vec_id", None, 3)
+    return models.stratified_draws(spark_view(spark, d, "preds"), "vec_id", None, 1000)
 
 
 @query("f14_permuted_labels", "WITH a AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents), b AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR || '|42'), doc_id) AS n FROM documents) SELECT doc_id, lang, b.source FROM a JOIN b USING (lang, n)")
@@ -355,20 +355,20 @@ def _(spark, d):
 
 def _halves(spark, d):
     e = F.transform("e", lambda v: v.cast("double"))
-    return spark_view(spark, d, "pairs").select("vec_id", F.slice(e, 1, 8).alias("y"), F.slice(e, 9, 8).alias("p"))
+    return spark_view(spark, d, "pairs").select("vec_id", F.slice(e, 1, 32).alias("y"), F.slice(e, 33, 32).alias("p"))
 
 
-@query("g11_row_cosine", "SELECT vec_id, round(list_cosine_similarity(embedding[1:8]::DOUBLE[], embedding[9:16]::DOUBLE[]), 9) AS cosine FROM embeddings")
+@query("g11_row_cosine", "SELECT vec_id, round(list_cosine_similarity(embedding[1:32]::DOUBLE[], embedding[33:64]::DOUBLE[]), 9) AS cosine FROM embeddings")
 def _(spark, d):
     return models.row_cosines(_halves(spark, d)).select("vec_id", F.round("cosine", 9).alias("cosine"))
 
 
-@query("g12_cosine_summary", "WITH c AS (SELECT list_cosine_similarity(embedding[1:8]::DOUBLE[], embedding[9:16]::DOUBLE[]) AS c FROM embeddings) SELECT round(avg(c), 9) AS mean, round(median(c), 9) AS median FROM c")
+@query("g12_cosine_summary", "WITH c AS (SELECT list_cosine_similarity(embedding[1:32]::DOUBLE[], embedding[33:64]::DOUBLE[]) AS c FROM embeddings) SELECT round(avg(c), 9) AS mean, round(median(c), 9) AS median FROM c")
 def _(spark, d):
     return models.row_cosines(_halves(spark, d)).agg(F.round(F.avg("cosine"), 9).alias("mean"), F.round(F.median("cosine"), 9).alias("median"))
 
 
-_R2 = "x AS (SELECT i - 1 AS dim, embedding[i]::DOUBLE AS y, embedding[i]::DOUBLE - embedding[i + 8]::DOUBLE AS e FROM embeddings, range(1, 9) t(i)), r AS (SELECT dim, 1 - sum(e * e) / greatest(sum(y * y) - sum(y) * sum(y) / count(*), 1e-12) AS r2 FROM x GROUP BY dim)"
+_R2 = "x AS (SELECT i - 1 AS dim, embedding[i]::DOUBLE AS y, embedding[i]::DOUBLE - embedding[i + 32]::DOUBLE AS e FROM embeddings, range(1, 33) t(i)), r AS (SELECT dim, 1 - sum(e * e) / greatest(sum(y * y) - sum(y) * sum(y) / count(*), 1e-12) AS r2 FROM x GROUP BY dim)"
 
 
 @query("g13_r2_by_dimension", f"WITH {_R2} SELECT dim, round(r2, 8) AS r2 FROM r")
@@ -503,15 +503,11 @@ def _(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.md5(sequence.centre_fit(F.col("text"), 1000)).alias("fit"))
 
 
-@query("q6_base_indices", f"WITH {cte('seqs')} SELECT doc_id, list_sum(list_transform(string_split(left(seq, 200), ''), lambda c: coalesce(nullif(list_position(['A','C','G','T'], upper(c)), 0) - 1, 4)))::BIGINT AS s FROM seqs")
-def _(spark, d):
-    idx = sequence.base_indices(F.left("seq", F.lit(200)))
-    return spark_view(spark, d, "seqs").select("doc_id", F.aggregate(idx, F.lit(0), lambda a, x: a + x).cast("long").alias("s"))
+_BASES = " - ".join(f"{4 - k} * (length(seq) - length(replace(seq, '{b}', '')))" for k, b in enumerate("ACGT"))
 
 
-@query("q6_base_indices_whole")
+@query("q6_base_indices", f"WITH {cte('seqs')} SELECT doc_id, (4 * length(seq) - {_BASES})::BIGINT AS s FROM seqs")
 def _(spark, d):
-    # the sum over the whole sequence; the SQL of q6_base_indices reads 200 bases
     idx = sequence.base_indices(F.col("seq"))
     return spark_view(spark, d, "seqs").select("doc_id", F.aggregate(idx, F.lit(0).cast("long"), lambda a, x: a + x).alias("s"))
 
@@ -637,10 +633,10 @@ def _(spark, d):
 def _xy(spark, d):
     s = curation.stratified_split(_t(spark, d, "embeddings"), "vec_id", "label")
     e = F.transform("embedding", lambda v: v.cast("double"))
-    return s.select("vec_id", "label", "split", F.slice(e, 1, 8).alias("x"), F.slice(e, 9, 4).alias("y"))
+    return s.select("vec_id", "label", "split", F.slice(e, 1, 48).alias("x"), F.slice(e, 49, 16).alias("y"))
 
 
-@query("m1_ridge_single", "SELECT round(regr_slope(y, x), 6) AS w, round(regr_intercept(y, x), 6) AS b FROM (SELECT embedding[1]::DOUBLE AS x, embedding[9]::DOUBLE AS y FROM embeddings)")
+@query("m1_ridge_single", "SELECT round(regr_slope(y, x), 6) AS w, round(regr_intercept(y, x), 6) AS b FROM (SELECT embedding[1]::DOUBLE AS x, embedding[49]::DOUBLE AS y FROM embeddings)")
 def _(spark, d):
     e = _xy(spark, d).select(F.slice("x", 1, 1).alias("x"), F.slice("y", 1, 1).alias("y"))
     w, b = models.gram(e).ridge(0.0)
@@ -669,33 +665,21 @@ def _(spark, d):
     return models.ridge_protocol(control.unionByName(xy.where("split = 'test'")))
 
 
-_BOOT = f"{cte('preds')}, {_DRAWS.format(s='t', reps=20)}, d AS (SELECT rep, t, p, w FROM bw JOIN preds USING (vec_id)), c AS (SELECT rep, t AS class FROM d UNION SELECT rep, p FROM d), su AS (SELECT rep, t AS class, sum(w) AS s, sum(w) FILTER (t = p) AS h FROM d GROUP BY ALL), pr AS (SELECT rep, p AS class, sum(w) AS q FROM d GROUP BY ALL), zz AS (SELECT rep, class, coalesce(s, 0) AS s, coalesce(q, 0) AS q, coalesce(h, 0) AS h FROM c LEFT JOIN su USING (rep, class) LEFT JOIN pr USING (rep, class)), m AS (SELECT rep, avg(coalesce(2 * h / nullif(s + q, 0), 0)) AS macro_f1, (sum(h) / sum(s) - sum(s::DOUBLE * q) / (sum(s)::DOUBLE * sum(s))) / (1 - sum(s::DOUBLE * q) / (sum(s)::DOUBLE * sum(s))) AS kappa FROM zz GROUP BY rep)"
+_BOOT = f"{cte('preds')}, {_DRAWS.format(s='t', reps=1000)}, d AS (SELECT rep, t, p, w FROM bw JOIN preds USING (vec_id)), c AS (SELECT rep, t AS class FROM d UNION SELECT rep, p FROM d), su AS (SELECT rep, t AS class, sum(w) AS s, sum(w) FILTER (t = p) AS h FROM d GROUP BY ALL), pr AS (SELECT rep, p AS class, sum(w) AS q FROM d GROUP BY ALL), zz AS (SELECT rep, class, coalesce(s, 0) AS s, coalesce(q, 0) AS q, coalesce(h, 0) AS h FROM c LEFT JOIN su USING (rep, class) LEFT JOIN pr USING (rep, class)), m AS (SELECT rep, avg(coalesce(2 * h / nullif(s + q, 0), 0)) AS macro_f1, (sum(h) / sum(s) - sum(s::DOUBLE * q) / (sum(s)::DOUBLE * sum(s))) / (1 - sum(s::DOUBLE * q) / (sum(s)::DOUBLE * sum(s))) AS kappa FROM zz GROUP BY rep)"
 
 
 @query("m9_bootstrap_classification", f"WITH {_BOOT} SELECT 'macro_f1' AS metric, round(quantile_cont(macro_f1, 0.025), 9) AS lo, round(quantile_cont(macro_f1, 0.975), 9) AS hi FROM m UNION ALL SELECT 'kappa', round(quantile_cont(kappa, 0.025), 9), round(quantile_cont(kappa, 0.975), 9) FROM m")
 def _(spark, d):
-    out = models.bootstrap_classification(spark_view(spark, d, "preds"), "vec_id", "t", "p", 20)
+    out = models.bootstrap_classification(spark_view(spark, d, "preds"), "vec_id", "t", "p")
     return out.select("metric", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
 
 
-@query("m9_bootstrap_classification_whole")
-def _(spark, d):
-    # 1000 replicates; the SQL of m9_bootstrap_classification draws 20
-    return models.bootstrap_classification(spark_view(spark, d, "preds"), "vec_id", "t", "p")
-
-
-@query("m10_bootstrap_regression", f"WITH {cte('preds')}, {_DRAWS.format(s=repr(''), reps=10)}, x AS (SELECT rep, i, w::DOUBLE AS w, embedding[i]::DOUBLE AS y, embedding[i]::DOUBLE - embedding[i + 8]::DOUBLE AS e FROM bw JOIN embeddings USING (vec_id), range(1, 9) t(i)), r AS (SELECT rep, i, 1 - sum(w * e * e) / greatest(sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w), 1e-12) AS r2 FROM x GROUP BY rep, i), v AS (SELECT rep, avg(r2) AS v FROM r GROUP BY rep) SELECT 'r2_macro' AS metric, round(quantile_cont(v, 0.025), 8) AS lo, round(quantile_cont(v, 0.975), 8) AS hi FROM v")
+@query("m10_bootstrap_regression", f"WITH {cte('preds')}, {_DRAWS.format(s=repr(''), reps=1000)}, x AS (SELECT rep, i, w::DOUBLE AS w, embedding[i]::DOUBLE AS y, embedding[i]::DOUBLE - embedding[i + 32]::DOUBLE AS e FROM bw JOIN embeddings USING (vec_id), range(1, 33) t(i)), r AS (SELECT rep, i, 1 - sum(w * e * e) / greatest(sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w), 1e-12) AS r2 FROM x GROUP BY rep, i), v AS (SELECT rep, avg(r2) AS v FROM r GROUP BY rep) SELECT 'r2_macro' AS metric, round(quantile_cont(v, 0.025), 8) AS lo, round(quantile_cont(v, 0.975), 8) AS hi FROM v")
 def _(spark, d):
-    out = models.bootstrap_regression(_halves(spark, d), "vec_id", "y", "p", 10)
+    out = models.bootstrap_regression(_halves(spark, d), "vec_id", "y", "p")
     return out.select("metric", F.round("lo", 8).alias("lo"), F.round("hi", 8).alias("hi"))
 
 
-@query("m10_bootstrap_regression_whole")
-def _(spark, d):
-    # 1000 replicates; the SQL of m10_bootstrap_regression draws 10
-    return models.bootstrap_regression(_halves(spark, d), "vec_id", "y", "p")
-
-
 def _letters(texts: list[str]) -> np.ndarray:
     """A stand-in for a pretrained encoder: shares of the four bases."""
     return np.array([[(t or "").count(b) / max(1, len(t or "")) for b in sequence.BASES] for t in texts]).reshape(len(texts), 4)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqlattice.plans import catalog
+from seqlattice.plans import catalog, round_trips  # noqa: F401 - registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -36,3 +36,9 @@ def refresh(inputs: DataFrame, path: str, key: str, work: Callable[[DataFrame],
         work(todo).write.mode("append").parquet(path)
     todo.unpersist()
     return n
+
+
+def cached(inputs: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataFrame], value: str) -> DataFrame:
+    """The cache at path after a refresh, without the keys whose value is null or empty; those are not asked for again."""
+    refresh(inputs, path, key, work)
+    return inputs.sparkSession.read.parquet(path).where(F.length(value) > 0)

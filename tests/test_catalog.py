@@ -22,21 +22,23 @@ def test_base_indices_of_whole_sequences(spark):
     texts = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
     letters = dict(zip("abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC", strict=True))
     want = {r.doc_id: sum("ACGT".find(letters.get(c, c).upper()) % 5 for c in r.text.lower()) for r in texts}
-    got = {r.doc_id: r.s for r in QUERIES["q6_base_indices_whole"](spark, FOLDER).collect()}
+    got = {r.doc_id: r.s for r in QUERIES["q6_base_indices"](spark, FOLDER).collect()}
     assert got == want and max(len(r.text) for r in texts) > 200
 
 
 def test_registered_sweeps_and_bootstraps_are_whole(spark, monkeypatch):
+    import inspect
+
     from seqlattice.operators import models
 
     seen = {}
-    for name, at in (("logistic_protocol", 1), ("mlp_protocol", 1), ("bootstrap_classification", 4), ("bootstrap_regression", 4)):
-        monkeypatch.setattr(models, name, lambda *a, name=name, at=at, **k: seen.__setitem__(name, (a[at:], k)))
-    for name in ("m3_logistic_protocol", "m6_mlp_protocol", "m9_bootstrap_classification_whole", "m10_bootstrap_regression_whole"):
-        QUERIES[name](spark, FOLDER)
-    assert seen.pop("mlp_protocol") == ((models.MLP_CONFIGS,), {}) and len({(c["hidden"], c["decay"]) for c in models.MLP_CONFIGS}) == 9
-    # the defaults: six values of C, 1000 replicates
-    assert len(models.CS) == 6 and seen == dict.fromkeys(seen, ((), {})) and len(seen) == 3
+    for name in ("logistic_protocol", "mlp_protocol"):
+        monkeypatch.setattr(models, name, lambda *a, name=name, **k: seen.__setitem__(name, (a[1:], k)))
+        QUERIES[f"{'m3' if name[0] == 'l' else 'm6'}_{name}"](spark, FOLDER)
+    assert seen == {"logistic_protocol": ((), {}), "mlp_protocol": ((models.MLP_CONFIGS,), {})}
+    assert len(models.CS) == 6 and len({(c["hidden"], c["decay"]) for c in models.MLP_CONFIGS}) == 9
+    for f, name in ((models.bootstrap_classification, "m9_bootstrap_classification"), (models.bootstrap_regression, "m10_bootstrap_regression")):
+        assert inspect.signature(f).parameters["replicates"].default == 1000 and "range(1000) t(r)" in SQL[name]
 
 
 def test_every_sql_has_a_query():

@@ -261,3 +261,48 @@ def test_mlp_is_scored_on_all_rows(spark):
         # one test row far off shows in the mean over all 200 test rows
         got = models.mlp_protocol(df, [{"hidden": 8, "epochs": 2}], bound).first()
         assert 4900 < got.test_mse < 5200 and got.val_loss < 100
+
+
+def test_means_of_chunks_need_their_reduction(spark):
+    rows = [("a", [1.0, 2.0], [5.0, 0.0], None), ("a", [3.0, 4.0], [1.0, 2.0], [7.0, 7.0])]
+    chunks = spark.createDataFrame(rows, "id string, special_mean array<double>, max array<double>, cls array<double>")
+    assert vector.mean_of_chunks(chunks, "id", "specialmean").first().x == [2.0, 3.0]
+    assert vector.mean_of_chunks(chunks, "id", "maxmean").first().x == [3.0, 1.0]
+    with pytest.raises(Exception, match="clsmean needs cls, absent in a chunk of a"):
+        vector.mean_of_chunks(chunks, "id", "clsmean").collect()
+    with pytest.raises(ValueError, match="meanmean needs mean"):
+        vector.mean_of_chunks(chunks, "id", "meanmean")
+    with pytest.raises(ValueError, match="unknown pooling"):
+        vector.mean_of_chunks(chunks, "id", "median")
+
+
+def test_places_in_ranges_are_those_of_one_sort(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(5000).select(F.when(F.col("id") % 7 != 0, F.col("id")).alias("k"), F.when(F.col("id") % 3 != 0, F.col("id") % 5).alias("s"), "id")
+    w = Window.partitionBy("s")
+    want = df.where("k is not null").withColumn("_p", F.row_number().over(w.orderBy(curation.seeded(F.col("k"), 42), "k"))).withColumn("_c", F.count("*").over(w))
+    got = curation.placed(df.where("k is not null"), "k", "s")
+    assert sorted(map(str, got.select("id", "_p", "_c").collect())) == sorted(map(str, want.select("id", "_p", "_c").collect()))
+    # null keys come first, in some order; every place is taken once
+    every = curation.placed(df, "k", "s")
+    assert every.count() == 5000 and every.groupBy("s").agg(F.count_distinct("_p").alias("n"), F.max("_p").alias("m"), F.max("_c").alias("c")).where("n <> m or m <> c").count() == 0
+
+
+def test_report_tables_in_markdown_and_bundle(spark):
+    from conftest import FOLDER
+    from seqlattice import registry
+    from seqlattice.plans.catalog import _classification
+    from seqlattice.plans.proxies import spark_view
+
+    q = registry.queries()
+    lines = [r.line for r in q["r11_markdown_tables"](spark, FOLDER).where("name = 'family5'").collect()]
+    rows = reports.main_family5(_classification(spark, FOLDER)).collect()
+    text = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
+    found = [[c.strip() for c in line.split("|")[1:-1]] for line in lines if line.startswith("| ")][2:]
+    assert lines[0] == "# family5" and [r[:3] for r in found] == [[text(r.encoder), text(r.pooling), text(r.feature_source)] for r in rows]
+    assert all(abs(float(f[3]) - r.test_macro_f1) < 6e-5 for f, r in zip(found, rows, strict=True) if r.test_macro_f1 is not None)
+    tables = reports.bundle(spark_view(spark, FOLDER, "runs"), names.feature_sources(spark))
+    got = {(r.kind, r.name) for r in q["r15_report_bundle"](spark, FOLDER).collect()}
+    assert {n for k, n in got if k == "output"} == {f"{t}/{f}" for t in tables for f in ("csv", "markdown")}
+    assert {n for k, n in got if k == "missing"} == {f"{r.artifact}:{r.feature_source}" for r in tables["missing_cells"].collect()}
