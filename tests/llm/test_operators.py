@@ -141,6 +141,47 @@ def test_quality_is_ordinal_and_held_out(spark):
     assert quality.score_quality(docs_of(spark, []), quality.fit_quality(docs_of(spark, []), graded, 3)).count() == 0
 
 
+def test_quality_likelihood_and_gradient():
+    r, levels, l2 = np.random.default_rng(4), 4, 0.3
+    grades, rows = r.integers(0, levels, 40), [np.flatnonzero(r.random(6) < 0.4) for _ in range(40)]
+    cols, of = np.concatenate(rows), np.repeat(np.arange(40), [len(x) for x in rows])
+    w = r.normal(size=6 + levels - 1)
+
+    def brute(w):
+        theta = [w[6], w[6] + np.exp(w[7]), w[6] + np.exp(w[7]) + np.exp(w[8])]
+        total = l2 / 2 * sum(w[:6] ** 2)
+        for x, g in zip(rows, grades, strict=True):
+            above = [1.0, *[1 / (1 + np.exp(-(sum(w[x]) - t))) for t in theta], 0.0]
+            total -= np.log(above[g] - above[g + 1])
+        return total / 40
+
+    value, gradient = quality.log_likelihood(w, cols, of, grades, levels, l2)
+    assert value == pytest.approx(brute(w), rel=1e-12)
+    steps = np.eye(len(w)) * 1e-6
+    assert gradient == pytest.approx(np.array([(brute(w + d) - brute(w - d)) / 2e-6 for d in steps]), abs=1e-7)
+
+
+def test_quality_fit_by_brute_force(spark):
+    r = random.Random(5)
+    rows = [(i % 70, " ".join(r.choices([f"w{k}" for k in range(30)], k=12) + [f"g{i % 70 % 3}"] * (r.random() < 0.8))) for i in range(90)] + [(3, "same w1")] * 4
+    graded = [(i, i % 3) for i in range(60)] + [(7, 1)]
+    docs, labels = docs_of(spark, rows + [(None, "g1"), (9, None)]), spark.createDataFrame(graded, "doc_id long, grade int")
+    every = [(i, g, quality.features(t.encode())) for i, t in rows for j, g in graded if i == j]
+    grades = np.array([g for _, g, _ in every])
+    mean, spread, active = grades.mean(), grades.std(), []
+    for b in sorted({int(x) for _, _, f in every for x in f}):
+        own = [g for _, g, f in every if b in f]
+        if len(own) >= quality.LEAST_TEXTS and abs(np.mean(own) - mean) / spread * len(own) ** 0.5 >= quality.SCREEN:
+            active.append(b)
+    want = quality.fit_ordinal(np.array(active, np.int32), [np.array([b for b in f if b in active], np.int32) for _, _, f in every], grades, 3)
+    got = quality.fit_quality(docs, labels, 3)
+    assert got.buckets.tolist() == active and len(active) >= 3
+    assert got.weights == pytest.approx(want.weights, abs=1e-5) and got.thresholds == pytest.approx(want.thresholds, abs=1e-9)
+    # a hot id stays within the bound on fitted rows
+    hot = quality.fit_quality(docs_of(spark, [(1, f"v{k % 9} x") for k in range(500)] + [(2, "y z")] * 300), spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, grade int"), 2, fit_rows=50)
+    assert np.isfinite(hot.thresholds).all()
+
+
 # embeddings
 
 
