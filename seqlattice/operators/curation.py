@@ -97,12 +97,31 @@ def placed(df: DataFrame, key: str, stratum: str, seed: int = 42) -> DataFrame:
     begins. No task holds a whole stratum.
     """
     ranged = df.withColumn("_d", seeded(F.col(key), seed)).withColumn("_b", F.left("_d", F.lit(3)))
-    counts = ranged.groupBy(F.col(stratum).alias("_s"), F.col("_b").alias("_r")).agg(F.count("*").alias("_k"))
-    whole = Window.partitionBy("_s")
+    return _counted(ranged, stratum, "_d", key).drop("_d")
+
+
+def in_order(df: DataFrame, key: str, stratum: str) -> DataFrame:
+    """df with `_p`, the place (from 1) in its stratum by key (null first), and `_c`, the stratum's rows.
+
+    A stratum is sorted in ranges between 1023 keys at most, those of least digest, so ranges are about equal whatever
+    the keys are. No task holds a whole stratum. Equal keys share a range; their order among themselves is open.
+    """
+    bounds = df.select(key).where(F.col(key).isNotNull()).orderBy(seeded(F.col(key), 0), key).limit(1023)
+    bounds = bounds.agg(F.array_sort(F.collect_list(key)).alias("_all")).withColumn("_some", F.expr("filter(_all, (x, i) -> i % 32 = 31)"))
+    upto = lambda c: F.size(F.filter(c, lambda x: x <= F.col(key)))
+    ranged = df.crossJoin(F.broadcast(bounds)).withColumn("_at", upto(F.col("_some")) * 32)
+    ranged = ranged.withColumn("_b", F.col("_at") + upto(F.slice("_all", F.col("_at") + 1, F.lit(32)))).drop("_all", "_some", "_at")
+    return _counted(ranged, stratum, key)
+
+
+def _counted(ranged: DataFrame, stratum: str, *order: str) -> DataFrame:
+    """Places in strata of rows in ranges `_b`, by their order within the range and counts of the ranges before."""
+    counts = ranged.groupBy(F.col(stratum).alias("_of"), F.col("_b").alias("_r")).agg(F.count("*").alias("_k"))
+    whole = Window.partitionBy("_of")
     counts = counts.withColumn("_before", F.sum("_k").over(whole.orderBy("_r")) - F.col("_k")).withColumn("_c", F.sum("_k").over(whole)).drop("_k")
-    joined = ranged.join(counts, F.col(stratum).eqNullSafe(F.col("_s")) & F.col("_b").eqNullSafe(F.col("_r")))
-    place = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_d", key)) + F.col("_before")
-    return joined.withColumn("_p", place).drop("_d", "_b", "_s", "_r", "_before")
+    joined = ranged.join(counts, F.col(stratum).eqNullSafe(F.col("_of")) & F.col("_b").eqNullSafe(F.col("_r")))
+    place = F.row_number().over(Window.partitionBy(stratum, "_b").orderBy(*order)) + F.col("_before")
+    return joined.withColumn("_p", place).drop("_b", "_of", "_r", "_before")
 
 
 def stratified_split(df: DataFrame, key: str, stratum: str, seed: int = 42, train: float = 0.70, val: float = 0.15) -> DataFrame:
@@ -122,10 +141,10 @@ def balanced_sample(df: DataFrame, key: str, group: str, values: Sequence, seed:
 
 def permuted_labels(df: DataFrame, key: str, label: str, within: str | None = None, seed: int = 42) -> DataFrame:
     """df with `label` permuted (within each value of `within`): the i-th row by key gets the label of the i-th by digest."""
-    part = [within] if within else []
-    by_key = df.withColumn("_n", F.row_number().over(Window.partitionBy(*part).orderBy(key)))
-    by_hash = df.select(*part, F.col(label).alias("_label"), F.row_number().over(Window.partitionBy(*part).orderBy(seeded(F.col(key), seed), key)).alias("_n"))
-    return by_key.join(by_hash, [*part, "_n"]).withColumn(label, F.col("_label")).drop("_label", "_n")
+    rows = df.withColumn("_w", F.col(within) if within else F.lit(0))
+    by_key = in_order(rows, key, "_w").drop("_c")
+    by_hash = placed(rows.select(key, "_w", F.col(label).alias("_label")), key, "_w", seed).select("_w", "_p", "_label")
+    return by_key.join(by_hash, ["_w", "_p"]).withColumn(label, F.col("_label")).drop("_label", "_p", "_w")
 
 
 def keep_known(df: DataFrame, known: DataFrame, key: str) -> DataFrame:

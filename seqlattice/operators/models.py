@@ -13,13 +13,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlattice.operators import metrics
+from seqlattice.operators import curation, metrics
 
 # Fixed values.
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 CS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 MLP_CONFIGS = tuple({"hidden": h, "decay": a} for h in (256, 512, 1024) for a in (1e-4, 1e-3, 1e-2))
 SLOTS = 16
+#: Draws of one replicate and stratum that a task makes at once.
+DRAWS = 65_536
 
 
 def _matrix(column) -> np.ndarray:
@@ -140,17 +142,17 @@ def stratified_draws(df: DataFrame, key: str, stratum: str | None, replicates: i
 
     Draw j of a stratum of n rows takes the row whose place is a digest of (seed, rep, stratum, j), modulo n.
     """
-    from pyspark.sql import Window
-
     s = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")
-    placed = df.select(F.col(key), s.alias("_s")).withColumn("_n", F.row_number().over(Window.partitionBy("_s").orderBy(key)) - 1)
-    sizes = placed.groupBy("_s").agg(F.count("*").alias("_size"))
+    places = curation.in_order(df.select(key, s.alias("_s")), key, "_s").withColumn("_n", F.col("_p") - 1)
+    sizes = df.select(s.alias("_s")).groupBy("_s").agg(F.count("*").alias("_size"))
     reps = df.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    draws = sizes.crossJoin(F.broadcast(reps)).withColumn("_j", F.explode(F.sequence(F.lit(0), (F.col("_size") - 1).cast("int"))))
+    # draws of a replicate and stratum come in blocks, dealt to all tasks
+    draws = sizes.crossJoin(F.broadcast(reps)).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_size - 1) div {DRAWS}"))))
+    draws = draws.repartition("rep", "_s", "_block").withColumn("_j", F.explode(F.sequence(F.col("_block") * DRAWS, F.least(F.col("_size"), (F.col("_block") + 1) * DRAWS) - 1)))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), "_s", F.col("_j").cast("string")))
-    draws = draws.withColumn("_n", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("_size")).cast("int"))
+    draws = draws.withColumn("_n", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("_size"))
     weights = draws.groupBy("rep", "_s", "_n").agg(F.count("*").alias("w"))
-    return weights.join(placed, ["_s", "_n"]).select("rep", key, "w")
+    return weights.join(places, ["_s", "_n"]).select("rep", key, "w")
 
 
 def bootstrap_classification(df: DataFrame, key: str, true: str, pred: str, replicates: int = 1000, seed: int = 42) -> DataFrame:

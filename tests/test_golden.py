@@ -306,3 +306,38 @@ def test_report_tables_in_markdown_and_bundle(spark):
     got = {(r.kind, r.name) for r in q["r15_report_bundle"](spark, FOLDER).collect()}
     assert {n for k, n in got if k == "output"} == {f"{t}/{f}" for t in tables for f in ("csv", "markdown")}
     assert {n for k, n in got if k == "missing"} == {f"{r.artifact}:{r.feature_source}" for r in tables["missing_cells"].collect()}
+
+
+def test_places_by_key_without_one_sort(spark):
+    import random
+
+    r = random.Random(8)
+    for kind, keys in (("long", r.sample(range(-(10**12), 10**12), 3000)), ("string", [f"{chr(r.choice((65, 233, 8364)))}{k}" for k in range(3000)]), ("long", [5]), ("long", [])):
+        rows = [(k, r.choice(("a", "b", None)) if r.random() < 0.2 else "hot") for k in keys] + [(None, "hot")] * bool(keys)
+        got = {(x.k, x.s): (x["_p"], x["_c"]) for x in curation.in_order(spark.createDataFrame(rows, f"k {kind}, s string"), "k", "s").collect()}
+        want = {}
+        for s in {s for _, s in rows}:
+            own = sorted((k for k, t in rows if t == s and k is not None))
+            own = [None] * any(k is None and t == s for k, t in rows) + own
+            want |= {(k, s): (n, len(own)) for n, k in enumerate(own, 1)}
+        assert got == want
+
+
+def test_draws_in_blocks_are_those_of_one(spark, monkeypatch):
+    df = spark.createDataFrame([(k, "a" if k % 7 else None) for k in range(500)], "k long, s string")
+    whole = sorted(map(tuple, models.stratified_draws(df, "k", "s", 3).collect()))
+    monkeypatch.setattr(models, "DRAWS", 11)
+    assert sorted(map(tuple, models.stratified_draws(df, "k", "s", 3).collect())) == whole
+    for rep in range(3):
+        assert sum(w for i, k, w in whole if i == rep and k % 7 == 0) == 72 and sum(w for i, _, w in whole if i == rep) == 500
+
+
+def test_permuted_labels_keep_rows_and_labels(spark):
+    df = spark.createDataFrame([(k, f"y{k % 5}", "s" if k % 3 else "t") for k in range(400)], "k long, y string, s string")
+    for within in (None, "s"):
+        got = curation.permuted_labels(df, "k", "y", within)
+        assert got.columns == df.columns or set(got.columns) == set(df.columns)
+        before, after = ({x.k: (x.y, x.s) for x in d.collect()} for d in (df, got))
+        assert before.keys() == after.keys() and before != after
+        part = (lambda v: v) if within else (lambda v: v[0])
+        assert sorted(map(part, before.values())) == sorted(map(part, after.values()))
