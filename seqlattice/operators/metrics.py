@@ -62,8 +62,13 @@ def r2_by_dimension(df: DataFrame, y: str, p: str, by: Sequence[str] = (), weigh
     dims = df.select(*by, w.alias("w"), F.posexplode(F.arrays_zip(F.col(y).alias("y"), F.col(p).alias("p"))).alias("dim", "e"))
     t, e = F.col("e.y").cast("double"), F.col("e.y").cast("double") - F.col("e.p").cast("double")
     s = dims.groupBy(*by, "dim").agg(F.sum("w").alias("n"), F.sum(F.col("w") * t).alias("s"), F.sum(F.col("w") * t * t).alias("ss"), F.sum(F.col("w") * e * e).alias("sse"))
+    return r2_of_sums(s, by)
+
+
+def r2_of_sums(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., dim, r2) of sums (by.., dim, n, s, ss, sse): rows, values, their squares and the squared differences."""
     sst = F.col("ss") - F.col("s") * F.col("s") / F.col("n")
-    return s.select(*by, "dim", (1 - F.col("sse") / F.greatest(sst, F.lit(TINY))).alias("r2"))
+    return sums.select(*by, "dim", (1 - F.col("sse") / F.greatest(sst, F.lit(TINY))).alias("r2"))
 
 
 def r2_distribution(r2: DataFrame) -> DataFrame:

@@ -22,6 +22,10 @@ MLP_CONFIGS = tuple({"hidden": h, "decay": a} for h in (256, 512, 1024) for a in
 SLOTS = 16
 #: Draws of one replicate and stratum that a task makes at once.
 DRAWS = 65_536
+#: Draws that a worker sorts into lists at once; places of a block, and cells of its matrix of draws, at most.
+GATHERED, PLACES, CELLS = 1 << 19, 1024, 1 << 21
+#: Sums that R2 is made of, by dimension: rows, values, their squares, rows whose difference is known, its squares.
+MOMENTS = ("n", "s", "ss", "known", "sse")
 
 
 def _matrix(column) -> np.ndarray:
@@ -137,22 +141,84 @@ def logistic_protocol(df: DataFrame, cs: Sequence[float] = CS) -> DataFrame:
     return metrics.summary(tested, "label", "pred").withColumn("C", F.lit(float(c)))
 
 
-def stratified_draws(df: DataFrame, key: str, stratum: str | None, replicates: int, seed: int = 42) -> DataFrame:
-    """(rep, key, w): how often a row is drawn in each replicate, with replacement, strata keeping their sizes.
-
-    Draw j of a stratum of n rows takes the row whose place is a digest of (seed, rep, stratum, j), modulo n.
-    """
+def _drawn(df: DataFrame, key: str, stratum: str | None, replicates: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Draws (rep, _s, _n), a row each, and the rows they take, (_s, _n, key)."""
     s = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")
-    places = curation.in_order(df.select(key, s.alias("_s")), key, "_s").withColumn("_n", F.col("_p") - 1)
+    places = curation.in_order(df.select(key, s.alias("_s")), key, "_s").select("_s", (F.col("_p") - 1).alias("_n"), key)
     sizes = df.select(s.alias("_s")).groupBy("_s").agg(F.count("*").alias("_size"))
     reps = df.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    # draws of a replicate and stratum come in blocks, dealt to all tasks
+    # draws of a replicate and stratum come in blocks, dealt to all tasks; without a number these few rows would meet in one
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     draws = sizes.crossJoin(F.broadcast(reps)).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_size - 1) div {DRAWS}"))))
-    draws = draws.repartition("rep", "_s", "_block").withColumn("_j", F.explode(F.sequence(F.col("_block") * DRAWS, F.least(F.col("_size"), (F.col("_block") + 1) * DRAWS) - 1)))
+    draws = draws.repartition(tasks, "rep", "_s", "_block").withColumn("_j", F.explode(F.sequence(F.col("_block") * DRAWS, F.least(F.col("_size"), (F.col("_block") + 1) * DRAWS) - 1)))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), "_s", F.col("_j").cast("string")))
-    draws = draws.withColumn("_n", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("_size"))
+    return draws.select("rep", "_s", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("_size")).alias("_n")), places
+
+
+def stratified_draws(df: DataFrame, key: str, stratum: str | None, replicates: int, seed: int = 42) -> DataFrame:
+    """(rep, key, w): how often a row is drawn in each replicate, with replacement, strata keeping their sizes.
+
+    Draw j of a stratum of n rows takes the row whose place is a digest of (seed, rep, stratum, j), modulo n.
+    """
+    draws, places = _drawn(df, key, stratum, replicates, seed)
     weights = draws.groupBy("rep", "_s", "_n").agg(F.count("*").alias("w"))
-    return weights.join(places, ["_s", "_n"]).select("rep", key, "w")
+    # Spark takes the draws for as few as the replicates and would broadcast them
+    return weights.join(places.hint("merge"), ["_s", "_n"]).select("rep", key, "w")
+
+
+def _bucketed(rows: int):
+    """Draws (rep, _n) to (block, rep, at): many of a replicate, by their blocks of `rows` places, in one list."""
+
+    def lists(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rep, n = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in (0, 1))
+        span = n.max() // rows + 1
+        of = rep * span + n // rows
+        order = np.argsort(of, kind="stable")
+        of = of[order]
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        at = pa.ListArray.from_arrays(pa.array(np.append(first, len(of)), pa.int32()), pa.array((n[order] % rows).astype(np.int16)))
+        return pa.RecordBatch.from_arrays([pa.array(of[first] % span), pa.array(of[first] // span), at], names=["block", "rep", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                parts, held = [*parts, batch], held + batch.num_rows
+            if held >= GATHERED:
+                yield lists(parts)
+                parts, held = [], 0
+        if parts:
+            yield lists(parts)
+
+    return run
+
+
+def _weighted(replicates: int, rows: int):
+    """Of a block's draws and rows (n, x), x holding MOMENTS values a dimension: their weighted sums by replicate and dimension."""
+
+    def flat(table: pa.Table, lists: str, by: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        column = table.column(lists).combine_chunks()
+        size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.repeat(table.column(by).to_numpy().astype(np.int64), size), column.flatten().to_numpy(zero_copy_only=False), size
+
+    def run(draws: pa.Table, places: pa.Table) -> pa.Table:
+        rep, at, _ = flat(draws, "at", "rep")
+        w = np.bincount(rep * rows + at, minlength=replicates * rows).reshape(replicates, rows).astype(np.float64)
+        n, values, size = flat(places, "x", "n")
+        x = np.zeros((rows, size.max(initial=0)))
+        np.add.at(x, (n, np.arange(len(n)) - np.repeat(np.cumsum(size) - size, size)), values)
+        odd = np.flatnonzero(~np.isfinite(x).all(axis=1))
+        plain = x.copy()
+        plain[odd] = 0
+        total = w @ plain
+        for i in odd:  # 0 times NaN is NaN: only for the replicates that drew it
+            drew = w[:, i] > 0
+            total[drew] += w[drew, i, None] * x[i]
+        total = total.reshape(replicates, x.shape[1] // len(MOMENTS), len(MOMENTS))
+        rep, dim = np.nonzero(total[:, :, 0] > 0)
+        return pa.table({"rep": pa.array(rep, pa.int64()), "dim": pa.array(dim, pa.int32())} | {m: pa.array(total[rep, dim, k]) for k, m in enumerate(MOMENTS)})
+
+    return run
 
 
 def bootstrap_classification(df: DataFrame, key: str, true: str, pred: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
@@ -166,9 +232,22 @@ def bootstrap_classification(df: DataFrame, key: str, true: str, pred: str, repl
 
 
 def bootstrap_regression(df: DataFrame, key: str, y: str, p: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """(metric, point, lo, hi) of the macro R2 of vector columns."""
-    drawn = stratified_draws(df, key, None, replicates, seed).join(df.select(key, y, p), key)
-    scores = metrics.r2_by_dimension(drawn, y, p, ["rep"], weight="w").groupBy("rep").agg(F.avg("r2").alias("v"))
+    """(metric, point, lo, hi) of the macro R2 of vector columns.
+
+    Draws meet the rows in blocks of places, where a product of matrices gives the sums of all replicates; neither draws
+    nor their dimensions become rows of a join.
+    """
+    rows = max(1, min(PLACES, CELLS // max(1, replicates)))
+    draws, places = _drawn(df, key, None, replicates, seed)
+    t, e = (lambda z: z.y.cast("double")), (lambda z: z.y.cast("double") - z.p.cast("double"))
+    known = lambda c: F.coalesce(c, F.lit(0.0))
+    moments = lambda z: F.array(F.lit(1.0), known(t(z)), known(t(z) * t(z)), e(z).isNotNull().cast("double"), known(e(z) * e(z)))
+    vectors = df.select(key, F.flatten(F.transform(F.arrays_zip(F.col(y).alias("y"), F.col(p).alias("p")), moments)).alias("x")).where("x is not null")
+    taken = places.join(vectors, key).select(F.expr(f"_n div {rows}").alias("block"), (F.col("_n") % rows).cast("int").alias("n"), "x")
+    lists = draws.select("rep", "_n").mapInArrow(_bucketed(rows), "block long, rep long, at array<smallint>")
+    sums = lists.groupBy("block").cogroup(taken.groupBy("block")).applyInArrow(_weighted(replicates, rows), "rep long, dim int, " + ", ".join(f"{m} double" for m in MOMENTS))
+    sums = sums.groupBy("rep", "dim").agg(*[F.sum(m).alias(m) for m in MOMENTS]).withColumn("sse", F.when(F.col("known") > 0, F.col("sse")))
+    scores = metrics.r2_of_sums(sums, ["rep"]).groupBy("rep").agg(F.avg("r2").alias("v"))
     point = metrics.r2_by_dimension(df, y, p).agg(F.lit("r2_macro").alias("metric"), F.avg("r2").alias("point"))
     return point.crossJoin(metrics.interval(scores, "v"))
 

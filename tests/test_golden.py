@@ -332,6 +332,52 @@ def test_draws_in_blocks_are_those_of_one(spark, monkeypatch):
         assert sum(w for i, k, w in whole if i == rep and k % 7 == 0) == 72 and sum(w for i, _, w in whole if i == rep) == 500
 
 
+def test_draws_are_not_broadcast(spark):
+    df = spark.range(50).select("id", F.array(F.col("id") * 1.0).alias("y"), F.array(F.col("id") % 7 * 1.0).alias("p"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")  # draws are estimated by the few rows that they are made of
+    try:
+        for out in (models.bootstrap_regression(df, "id", "y", "p"), models.stratified_draws(df, "id", None, 1000)):
+            depth, drawn, broadcast = 1_000, 0, 0
+            for line in out._jdf.queryExecution().executedPlan().toString().split("\n"):
+                at = len(line) - len(line.lstrip(" :+-"))
+                depth = at if "HashedRelationBroadcastMode" in line and at < depth else 1_000 if at <= depth else depth
+                drawn, broadcast = drawn + ("md5(" in line and "_j#" in line), broadcast + ("_j#" in line and at > depth)
+            assert drawn and not broadcast
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_draws_are_dealt_to_all_tasks(spark):
+    draws, _ = models._drawn(spark.range(50), "id", None, 200, 42)
+    assert draws.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("nan", [False, True])
+def test_bootstrapped_r2_by_brute_force(spark, monkeypatch, nan):
+    import hashlib
+
+    # short, empty, unknown and repeated rows; blocks and lists of few draws
+    rows = [(k, [k % 5 * 1.0, None if k % 4 == 0 else k * 0.5, k * 7 % 11 * 1.0][: 3 if k % 6 else 2], [k % 5 + k % 3 * 0.25, None if k % 9 == 0 else k * 0.4, k % 7 * 1.0]) for k in range(60)]
+    rows += [(60, None, [1.0]), (61, [], []), (5, [9.0, 8.0, 7.0], [9.0, 8.0, 6.0]), *([(62, [float("nan"), 1.0, 2.0], [1.0, 2.0, 3.0])] if nan else [])]
+    for name, value in (("PLACES", 7), ("GATHERED", 50)):
+        monkeypatch.setattr(models, name, value)
+    keys, scores = sorted(r[0] for r in rows), []
+    for rep in range(40):
+        at = [int(hashlib.md5(f"42|{rep}||{j}".encode()).hexdigest()[:8], 16) % len(rows) for j in range(len(rows))]
+        drawn = [(y, p) for i in at for k, y, p in rows if k == keys[i] and y is not None and p is not None]
+        r2 = []
+        for d in range(3):
+            pairs = [(y[d] if d < len(y) else None, p[d] if d < len(p) else None) for y, p in drawn if d < max(len(y), len(p))]
+            t = [a for a, _ in pairs if a is not None]
+            r2.append(1 - sum((a - b) ** 2 for a, b in pairs if a is not None and b is not None) / (sum(a * a for a in t) - sum(t) ** 2 / len(pairs)))
+        scores.append(np.mean(r2))
+    scores = np.sort(scores)  # NaN last, as in Spark
+    want = [scores[int(q)] + (q % 1) * (scores[int(q) + 1] - scores[int(q)]) for q in (0.025 * 39, 0.975 * 39)]
+    got = models.bootstrap_regression(spark.createDataFrame(rows, "k long, y array<double>, p array<double>"), "k", "y", "p", 40).first()
+    assert np.allclose([got.lo, got.hi], want, rtol=1e-9, equal_nan=True) and np.isnan(want[1]) == nan and not np.isnan(want[0])
+
+
 def test_permuted_labels_keep_rows_and_labels(spark):
     df = spark.createDataFrame([(k, f"y{k % 5}", "s" if k % 3 else "t") for k in range(400)], "k long, y string, s string")
     for within in (None, "s"):
